@@ -6,10 +6,13 @@ Jaccard similarity of 0.75 or more are linked; a component of links is a class.
 1. One pass over the texts makes each set's 128-bit digest and a signature of 128
    MinHash values. Rows of one digest have one set; a digest stands for them all.
 2. 32 bands of 4 values put digests into buckets. Each member of a bucket is
-   compared with the bucket's least digest, so a group of copies yields pairs in
+   compared with the bucket's hub, the member that meets most others over all its
+   buckets, as the original of a group of copies does; so a group yields pairs in
    proportion to its size. Only where a bucket still holds several components
    afterwards are their members compared across components: a pair within one
-   component can add nothing.
+   component can add nothing. Of these pairs, those go that cannot reach the
+   threshold: shingles that no other member of an open bucket has are in no
+   intersection, which bounds its size from above without loss.
 3. Signatures of a pair are compared 16 values at a time. After m matches in n the
    posterior of the similarity under a uniform prior is Beta(m + 1, n - m + 1); a
    pair goes once the chance that it reaches the threshold falls below
@@ -50,15 +53,17 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _FACTOR = (_rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _SHIFT = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
 _RUN = 2048
+#: Most bytes of ids that are broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 8 << 20
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of 128 permutations over a set of 64-bit hashes."""
+    """The low 16 bits of the least value of each of 128 permutations over a set."""
     folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     least = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
     for first in range(0, len(folded), _RUN):
         np.minimum(least, (_FACTOR * folded[None, first : first + _RUN] + _SHIFT).min(axis=1), out=least)
-    return least
+    return least.astype(np.uint16)
 
 
 def least_matches(threshold: float, miss_probability: float, batch: int = BATCH, total: int = PERMUTATIONS) -> list[int]:
@@ -104,8 +109,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for owner, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(hashes.as_buffer(), np.int64)
+            for first in range(0, len(own), 1 << 16):
+                part = own[first : first + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), owner)), pa.array(part)], names=["owner", "shingle"])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), PERMUTATIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), PERMUTATIONS)
 
 
 def _pruner(bounds: list[int]):
@@ -184,12 +198,22 @@ class NearDuplicates:
         )
 
     def _buckets(self) -> DataFrame:
-        """The members of each bucket that holds two sets or more."""
-        width = ROWS * 4
+        """The members and the hub of each bucket that holds two sets or more."""
+        width = ROWS * 2
         keys = F.array(*[F.xxhash64(F.lit(band), F.substring("sig", band * width + 1, width)) for band in range(BANDS)])
         banded = self.sets.select("digest", "n", F.explode(keys).alias("bucket"))
-        hubs = banded.groupBy("bucket").agg(F.min("digest").alias("hub"), F.max("digest").alias("last")).filter("hub <> last")
-        return checkpoint(banded.join(hubs.drop("last"), "bucket"))
+        shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        members = checkpoint(banded.join(shared, "bucket"))
+        met = members.groupBy("digest").agg(F.sum("members").alias("met"))
+        hubs = members.join(met, "digest").groupBy("bucket").agg(F.max(F.struct("met", "digest")).getField("digest").alias("hub"))
+        return members.drop("members").join(hubs, "bucket")
+
+    def _shared_shingles(self, members: DataFrame, hashes: DataFrame) -> DataFrame:
+        """(owner, alone): how many shingles of each member no other member has."""
+        own = hashes.join(members.select("digest").distinct(), "digest", "left_semi").select(F.xxhash64("digest").alias("owner"), "hashes")
+        rows = own.mapInArrow(_exploded, "owner bigint, shingle bigint")
+        alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("owner").alias("owner")).filter("sets = 1")
+        return alone.groupBy("owner").agg(F.count(F.lit(1)).alias("alone"))
 
     def _could_link(self, n: str, m: str):
         """Sets so different in size cannot reach the threshold."""
@@ -208,8 +232,10 @@ class NearDuplicates:
 
     def classes(self) -> DataFrame:
         """(digest, component_id) for each distinct set that is not alone."""
-        members = self._buckets()
-        wanted = members.select("digest").distinct().join(self.sets.select("digest", "first_id"), "digest")
+        members = checkpoint(self._buckets())
+        wanted = checkpoint(members.select("digest").distinct().join(self.sets.select("digest", "first_id"), "digest"))
+        if wanted.count() * 64 <= BROADCAST_BYTES:
+            wanted = F.broadcast(wanted)
         found = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["first_id"]))
         hashes = checkpoint(found.select("digest", "text").mapInArrow(_sets, "digest binary, hashes binary").dropDuplicates(["digest"]))
 
@@ -220,8 +246,13 @@ class NearDuplicates:
         labelled = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
         rest = checkpoint(labelled.join(split, "bucket", "left_semi").select("bucket", "digest", "n", "label"))
+        alone = self._shared_shingles(rest, hashes)
+        rest = rest.withColumn("owner", F.xxhash64("digest")).join(alone, "owner", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+        # an intersection holds at least the smallest share of either set
+        rest = checkpoint(rest.filter(self.under * F.col("most") >= self.over * F.col("n")).select("bucket", "digest", "n", "most", "label"))
         x, y = rest.alias("x"), rest.alias("y")
-        across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & self._could_link("x.n", "y.n"))
+        enough = (self.over + self.under) * F.least("x.most", "y.most") >= self.over * (F.col("x.n") + F.col("y.n"))
+        across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & enough)
         across = across.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct().join(to_hub, ["a", "b"], "left_anti")
         more = checkpoint(self._linked(across, hashes))
         if not more.isEmpty():
