@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.common import checkpoint, documents_of
-from maskwright.llm.tokens import word_ids
+from maskwright.llm.tokens import text_ids
 
 CAPACITY = 2048
 FAN_IN = 8
@@ -85,7 +85,7 @@ def _leaf(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(path).encode
+        encode = text_ids(path).encode
         node, made = TaskContext.get().partitionId(), 0
         ids, held, lengths = [], [], []
         id_type = None
@@ -108,9 +108,10 @@ def _leaf(path: str, capacity: int, end_id: int):
 
         for batch in batches:
             id_type = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for own in pieces_of(encode(text.as_py()) + end, capacity):
-                    ids.append(doc_id)
+            doc_ids = batch.column(0).to_pylist()
+            for row, tokens in encode(batch.column(1)):
+                for own in pieces_of(tokens + end, capacity):
+                    ids.append(doc_ids[row])
                     held.append(own)
                     lengths.append(own[2])
                 if len(lengths) >= WINDOW:
@@ -174,10 +175,11 @@ def packed_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width = word_ids(path).encode, 4 * capacity
+        encode, width = text_ids(path).encode, 4 * capacity
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            doc_ids = batch.column(0)
+            for row, tokens in encode(batch.column(1)):
+                doc_id, ids = doc_ids[row], tokens + end
                 parts = [np.frombuffer(ids[i : i + width], "<u4").astype(np.int32) for i in range(0, len(ids), width)]
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(parts), batch.column(0).type), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.int32()))], names=["doc_id", "piece", "ids"])
 

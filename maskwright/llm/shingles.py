@@ -10,7 +10,8 @@ SHINGLE_WORDS = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240601))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_EXACT = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_BYTE = _EXACT.copy()
 for _upper in range(ord("A"), ord("Z") + 1):
     _BYTE[_upper] = _BYTE[_upper + 32]
 _PLACE = _rng.integers(1, 2**63, SHINGLE_WORDS, dtype=np.uint64) | np.uint64(1)
@@ -62,13 +63,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z as a-z."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word; fold: A-Z as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     powers, inverses = _tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
+    np.cumsum((_BYTE if fold else _EXACT)[data] * powers[: len(data)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
