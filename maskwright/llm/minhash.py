@@ -10,9 +10,9 @@ Jaccard similarity of 0.75 or more are linked; a component of links is a class.
    buckets, as the original of a group of copies does; so a group yields pairs in
    proportion to its size. Only where a bucket still holds several components
    afterwards are their members compared across components: a pair within one
-   component can add nothing. Of these pairs, those go that cannot reach the
-   threshold: shingles that no other member of an open bucket has are in no
-   intersection, which bounds its size from above without loss.
+   component can add nothing. Of these pairs only those are formed that may reach the
+   threshold by the number and the rarity of the shingles that both components have,
+   an exact bound.
 3. Signatures of a pair are compared 16 values at a time. After m matches in n the
    posterior of the similarity under a uniform prior is Beta(m + 1, n - m + 1); a
    pair goes once the chance that it reaches the threshold falls below
@@ -36,7 +36,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,11 +111,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for owner, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for *owner, hashes in zip(*[batch.column(k).to_pylist() for k in range(3)], batch.column(3), strict=True):
             own = np.frombuffer(hashes.as_buffer(), np.int64)
             for first in range(0, len(own), 1 << 16):
                 part = own[first : first + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), owner)), pa.array(part)], names=["owner", "shingle"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(part), x)) for x in owner], pa.array(part)], names=["owner", "part", "n", "shingle"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -208,12 +208,32 @@ class NearDuplicates:
         hubs = members.join(met, "digest").groupBy("bucket").agg(F.max(F.struct("met", "digest")).getField("digest").alias("hub"))
         return members.drop("members").join(hubs, "bucket")
 
-    def _shared_shingles(self, members: DataFrame, hashes: DataFrame) -> DataFrame:
-        """(owner, alone): how many shingles of each member no other member has."""
-        own = hashes.join(members.select("digest").distinct(), "digest", "left_semi").select(F.xxhash64("digest").alias("owner"), "hashes")
-        rows = own.mapInArrow(_exploded, "owner bigint, shingle bigint")
-        alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("owner").alias("owner")).filter("sets = 1")
-        return alone.groupBy("owner").agg(F.count(F.lit(1)).alias("alone"))
+    def _across(self, rest: DataFrame, hashes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of different components that may reach the threshold.
+
+        Sets of n and m shingles need 3 (n + m) / 7 in common at a threshold of 0.75.
+        In one order of all shingles, rarest first, two such sets have a common one
+        among the first n - common + 1 of the one and m - common + 1 of the other.
+        """
+        labels = checkpoint(rest.select("digest", "n", F.xxhash64("digest").alias("owner"), F.xxhash64("label").alias("part")).distinct())
+        own = hashes.join(labels, "digest").select("owner", "part", "n", "hashes")
+        rows = own.mapInArrow(_exploded, "owner bigint, part bigint, n bigint, shingle bigint")
+        known = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("part").alias("low"), F.max("part").alias("high"))
+        rows = rows.join(known.select("shingle", "sets", (F.col("low") != F.col("high")).alias("shared")), "shingle")
+        rarest = Window.partitionBy("owner").orderBy("sets", "shingle")
+        rows = rows.withColumns({"place": F.row_number().over(rarest), "most": F.count_if("shared").over(Window.partitionBy("owner"))})
+        least = F.ceil(self.over * F.col("n") / self.under)
+        firsts = checkpoint(rows.filter(F.col("shared") & (F.col("most") >= least) & (F.col("place") <= F.col("n") - least + 1)).select("owner", "part", "n", "shingle", "place", "most"))
+        # each pair has a member outside the component that has most sets of the shingle
+        largest = firsts.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("sets")).groupBy("shingle").agg(F.max(F.struct("sets", "part")).getField("part").alias("largest"))
+        x, y = firsts.join(largest, "shingle").filter("part <> largest").alias("x"), firsts.alias("y")
+        common = F.ceil(self.over * (F.col("x.n") + F.col("y.n")) / (self.over + self.under))
+        reach = (F.least("x.most", "y.most") >= common) & (F.col("x.place") <= F.col("x.n") - common + 1) & (F.col("y.place") <= F.col("y.n") - common + 1)
+        pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & reach)
+        pairs = pairs.select(F.least("x.owner", "y.owner").alias("oa"), F.greatest("x.owner", "y.owner").alias("ob")).distinct()
+        names = labels.select("owner", "digest")
+        pairs = pairs.join(names.toDF("oa", "da"), "oa").join(names.toDF("ob", "db"), "ob")
+        return pairs.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
 
     def _could_link(self, n: str, m: str):
         """Sets so different in size cannot reach the threshold."""
@@ -245,15 +265,8 @@ class NearDuplicates:
 
         labelled = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        rest = checkpoint(labelled.join(split, "bucket", "left_semi").select("bucket", "digest", "n", "label"))
-        alone = self._shared_shingles(rest, hashes)
-        rest = rest.withColumn("owner", F.xxhash64("digest")).join(alone, "owner", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-        # an intersection holds at least the smallest share of either set
-        rest = checkpoint(rest.filter(self.under * F.col("most") >= self.over * F.col("n")).select("bucket", "digest", "n", "most", "label"))
-        x, y = rest.alias("x"), rest.alias("y")
-        enough = (self.over + self.under) * F.least("x.most", "y.most") >= self.over * (F.col("x.n") + F.col("y.n"))
-        across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & enough)
-        across = across.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct().join(to_hub, ["a", "b"], "left_anti")
+        rest = labelled.join(split, "bucket", "left_semi").select("digest", "n", "label")
+        across = self._across(rest, hashes).join(to_hub, ["a", "b"], "left_anti").join(to_hub.toDF("b", "a"), ["a", "b"], "left_anti")
         more = checkpoint(self._linked(across, hashes))
         if not more.isEmpty():
             labels = components(reduce(DataFrame.union, [links, more]))
