@@ -145,6 +145,6 @@ def mix_digest(docs: DataFrame, **options) -> DataFrame:
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as drawn, with _shard and _position."""
     mix = Mix(docs, id_col, **options)
-    taken = mix.drawn_documents().filter("pass is not null").select(F.col("doc_id").alias("_taken_id"), "pass", F.col("shard").alias("_shard"))
+    taken = mix.drawn_documents().filter("pass is not null").select(F.col("doc_id").alias("_taken_id"), F.col("pass").alias("_pass"), F.col("shard").alias("_shard"))
     rows = docs.join(taken, docs[id_col].eqNullSafe(taken["_taken_id"]))
-    return rows.withColumn("_position", _hash(mix.seed + 3, F.col("_shard"), F.col("pass"), F.col("_taken_id"))).drop("_taken_id", "pass")
+    return rows.withColumn("_position", _hash(mix.seed + 3, F.col("_shard"), F.col("_pass"), F.col("_taken_id"))).drop("_taken_id", "_pass")

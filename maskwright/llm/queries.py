@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import minhash, mixing, packing, quality
+from maskwright.llm import minhash, mixing, packing, pii_boost, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,15 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.found(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_cascade, op5_best_fit_packing, op9_source_mix, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op4_quality_cascade, op5_best_fit_packing, op6_boosted_pii, op9_source_mix, op10_minhash_dedup)}
 
 _OP4 = r"""
 WITH w AS (
