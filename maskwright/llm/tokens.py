@@ -29,7 +29,7 @@ class TextIds:
     words' ids.
     """
 
-    def __init__(self, path: str, size: int = 2_500_000):
+    def __init__(self, path: str, size: int = 1_200_000):
         self.tokenizer, self.size = Tokenizer.from_file(path), size
         self.mark = self.tokenizer.token_to_id(MARK)
         self._reset()
@@ -83,7 +83,7 @@ class TextIds:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
         """(row, ids as little-endian 32-bit bytes) of each text."""
-        for first, _, data, offsets in text_slices(texts, 1 << 23):
+        for first, _, data, offsets in text_slices(texts, 1 << 21):
             ids, edges = self.run(data, offsets)
             raw = ids.astype("<u4", copy=False).tobytes()
             edges = (edges * 4).tolist()
