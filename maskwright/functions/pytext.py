@@ -19,10 +19,14 @@ def normal_form(text: str) -> str:
     return "".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
-@F.pandas_udf("boolean")
-def decode_mismatch(text: pd.Series, decoded: pd.Series) -> pd.Series:
+def decode_mismatch(text: Column, decoded: Column) -> Column:
     """Whether a tokenizer's round trip lost more than form, case and white space."""
-    return pd.Series([None if a is None or b is None else normal_form(a) != normal_form(b) for a, b in zip(text, decoded, strict=True)])
+
+    @F.pandas_udf("boolean")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else normal_form(x) != normal_form(y) for x, y in zip(a, b, strict=True)])
+
+    return run(text, decoded)
 
 
 def token_offsets(text: str, tokens: Sequence[str], special: frozenset[str]) -> list[dict]:
