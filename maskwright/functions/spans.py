@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import validators
@@ -32,6 +32,27 @@ def empty(kind: str = SPANS) -> Column:
     return F.expr(f"cast(array() as {kind})")
 
 
+#: Elements that a growing array holds before they move to its finished blocks.
+_BLOCK = 64
+
+
+def growing(kind: str) -> Column:
+    """An empty array that a fold may append to without copying all of it each time."""
+    return F.struct(empty(f"array<array<{kind}>>").alias("done"), empty(f"array<{kind}>").alias("open"))
+
+
+def grown(array: Column, entry: Column) -> Column:
+    full = F.size(array["open"]) >= _BLOCK
+    return F.struct(
+        F.when(full, F.array_append(array["done"], array["open"])).otherwise(array["done"]).alias("done"),
+        F.when(full, F.array(entry)).otherwise(F.array_append(array["open"], entry)).alias("open"),
+    )
+
+
+def whole(array: Column) -> Column:
+    return F.flatten(F.array_append(array["done"], array["open"]))
+
+
 def span(label: Column, start: Column, end: Column) -> Column:
     return F.struct(label.alias("label"), start.cast("int").alias("start"), end.cast("int").alias("end"))
 
@@ -55,19 +76,19 @@ def regex_matches(text: Column, pattern: str) -> Column:
     ``pattern`` is in Java's dialect and never matches the empty string: the texts
     between matches, from a split by it, then give the offsets in code points.
     """
-    kind = "array<struct<start: int, end: int, text: string>>"
+    kind = "struct<start: int, end: int, text: string>"
 
     def placed(found: Column, gaps: Column) -> Column:
         def step(state: Column, match: Column) -> Column:
-            start = state["at"] + F.length(F.get(gaps, F.size(state["out"])))
-            end = start + F.length(match)
-            entry = F.struct(start.alias("start"), end.alias("end"), match.alias("text"))
-            return F.struct(end.alias("at"), F.array_append(state["out"], entry).alias("out"))
+            start = state["at"] + F.length(F.get(gaps, state["n"]))
+            entry = F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("text"))
+            return F.struct((start + F.length(match)).alias("at"), (state["n"] + 1).alias("n"), grown(state["out"], entry).alias("out"))
 
-        return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty(kind).alias("out")), step, lambda s: s["out"])
+        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), growing(kind).alias("out"))
+        return F.aggregate(found, begin, step, lambda s: whole(s["out"]))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(m, gaps))).otherwise(empty(kind)))
+    return let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(m, gaps))).otherwise(empty(f"array<{kind}>")))
 
 
 _CANDIDATE = "struct<rank: int, shorter: int, start: int, ord: int, end: int, label: string>"
@@ -91,9 +112,34 @@ def candidates(text: Column, rule: RegexRule, ord: int) -> Column:
     return F.when(text.rlike(pattern), keyed).otherwise(empty(f"array<{_CANDIDATE}>"))
 
 
-def greedy(ordered: Column, kind: str) -> Column:
-    """Elements in order, without those that overlap one already taken."""
-    return F.aggregate(ordered, empty(f"array<{kind}>"), lambda taken, x: F.when(F.exists(taken, lambda t: overlaps(t, x)), taken).otherwise(F.array_append(taken, x)))
+def greedy(found: Column, kind: str) -> Column:
+    """Elements in their own order, without those that overlap one already taken.
+
+    Elements are structs of ``kind`` that sort by precedence. Only runs of elements
+    that overlap one another are compared, so disjoint matches cost nothing.
+    """
+
+    def taken(run: Column) -> Column:
+        def step(kept: Column, x: Column) -> Column:
+            return F.when(F.exists(kept, lambda k: overlaps(k, x)), kept).otherwise(F.array_append(kept, x))
+
+        return F.when(F.size(run) == 1, run).otherwise(F.aggregate(F.array_sort(run), empty(f"array<{kind}>"), step))
+
+    runs_kind = f"array<{kind}>"
+
+    def gather(state: Column, s: Column) -> Column:
+        x = s["x"]
+        fresh = x["start"] >= state["reach"]
+        return F.struct(
+            F.when(fresh & (F.size(state["open"]) > 0), grown(state["runs"], state["open"])).otherwise(state["runs"]).alias("runs"),
+            F.when(fresh, F.array(x)).otherwise(F.array_append(state["open"], x)).alias("open"),
+            F.when(fresh, x["end"]).otherwise(F.greatest(state["reach"], x["end"])).alias("reach"),
+        )
+
+    placed = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("at"), x.alias("x"))))
+    start = F.struct(growing(runs_kind).alias("runs"), empty(runs_kind).alias("open"), F.lit(0).alias("reach"))
+    runs = F.aggregate(placed, start, gather, lambda s: F.array_append(whole(s["runs"]), s["open"]))
+    return F.when(F.size(found) <= 1, found).otherwise(F.flatten(F.transform(runs, taken)))
 
 
 def by_start(spans: Column) -> Column:
@@ -108,7 +154,7 @@ def regex_spans(text: Column, rules: Sequence[RegexRule]) -> Column:
     if not rules:
         return F.when(text.isNotNull(), empty())
     every = F.concat(*[candidates(text, rule, ord) for ord, rule in enumerate(rules)])
-    return F.when(text.isNotNull(), by_start(greedy(F.array_sort(every), _CANDIDATE)))
+    return F.when(text.isNotNull(), let(every, lambda found: by_start(greedy(found, _CANDIDATE))))
 
 
 # filters and merging ----------------------------------------------------------
@@ -222,7 +268,7 @@ def merge_union(regex: Column, ner: Column) -> Column:
 
             left = F.filter(n_all, lambda n, i: ~F.array_contains(state["used"], i))
             every = F.concat(F.transform(state["out"], keyed(0)), F.transform(left, keyed(1)))
-            return by_start(greedy(F.array_sort(every), _MERGING))
+            return let(every, lambda found: by_start(greedy(found, _MERGING)))
 
         return let(F.aggregate(r_all, start, grow), resolved)
 
@@ -270,10 +316,13 @@ def rendered(text: Column, detected: Column, replace: Callable[[Column], Column]
 
     def step(state: Column, s: Column) -> Column:
         gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(s["end"].alias("at"), F.concat(state["out"], gap, replace(s)).alias("out"))
+        return F.struct(s["end"].alias("at"), grown(state["out"], F.concat(gap, replace(s))).alias("out"))
 
-    whole = F.aggregate(detected, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(detected) > 0, whole).otherwise(text)
+    def finish(state: Column) -> Column:
+        return F.concat(F.array_join(whole(state["out"]), ""), F.substring(text, state["at"] + 1, F.length(text)))
+
+    masked = F.aggregate(detected, F.struct(F.lit(0).alias("at"), growing("string").alias("out")), step, finish)
+    return F.when(F.size(detected) > 0, masked).otherwise(text)
 
 
 def redacted_text(text: Column, detected: Column) -> Column:
@@ -291,6 +340,15 @@ def label_counts(detected: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(labels)), lambda x: F.struct(x.alias("label"), F.size(F.filter(labels, lambda y: y == x)).alias("n")))
 
 
+def exploded(df: DataFrame, keys: Sequence[str | Column], spans: str | Column) -> DataFrame:
+    """A row for each span: keys, label, start, end.
+
+    An outer explode and a filter on its output: for an inner one the optimizer adds
+    a filter on the array below, which computes the array's expression again.
+    """
+    return df.select(*keys, F.explode_outer(spans).alias("_mw_span")).filter("_mw_span is not null").select(*keys, "_mw_span.label", "_mw_span.start", "_mw_span.end")
+
+
 def summary(detected: Column, output_mode: Column, mismatch: Column) -> Column:
     counts = label_counts(detected)
     by_label = F.map_from_entries(counts)

@@ -111,7 +111,7 @@ class RedactionEngine:
 
 def summary_by_label(detected: DataFrame, spans_col: str = "detected_spans") -> DataFrame:
     """(label, n_spans, n_rows) over a table; aggregated before the shuffle."""
-    per_row = detected.select(F.explode(spans.label_counts(F.col(spans_col))).alias("x"))
+    per_row = detected.select(F.explode_outer(spans.label_counts(F.col(spans_col))).alias("x")).filter("x is not null")
     return per_row.groupBy("x.label").agg(F.sum("x.n").alias("n_spans"), F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.spans import exploded
+
 
 def span_rows(df: DataFrame, id_col: str, spans_col: str) -> DataFrame:
     """A row for each span of an array column."""
-    return df.select(F.col(id_col).alias("id"), F.explode(spans_col).alias("s")).select("id", "s.label", "s.start", "s.end")
+    return exploded(df.select(F.col(id_col).alias("id"), spans_col), ["id"], spans_col)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -63,7 +63,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(df: DataFrame, key: str, column: str) -> DataFrame:
-    return df.select(key, F.explode(column).alias("s")).select(key, "s.label", "s.start", "s.end")
+    return spans.exploded(df, [key], column)
 
 
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
