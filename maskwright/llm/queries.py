@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import chat, license_align, media, minhash, mixing, packing, pii_boost, quality, url_lists
+from maskwright.llm import chat, license_align, media, minhash, mixing, packing, pii_boost, quality, suffix_dedup, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.found(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_align.scan(_table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_webp_media, op2_chat_masks, op3_temporal_url_lists, op4_quality_cascade, op5_best_fit_packing, op6_boosted_pii, op8_license_alignment, op9_source_mix, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_webp_media, op2_chat_masks, op3_temporal_url_lists, op4_quality_cascade, op5_best_fit_packing, op6_boosted_pii, op7_suffix_dedup, op8_license_alignment, op9_source_mix, op10_minhash_dedup)}
 
 _OP3 = r"""
 WITH p AS (

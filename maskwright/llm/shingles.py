@@ -63,6 +63,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial hash of bytes, and the base's inverse powers."""
+    powers, inverses = _tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_EXACT[data] * powers[: len(data)], out=sums[1:])
+    return sums, inverses
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each word; fold: A-Z as a-z."""
     if not len(starts):
