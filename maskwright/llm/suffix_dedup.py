@@ -10,8 +10,10 @@ positions leave as soon as their rank is unique:
    anchors at equal distances, so starts form runs that share an anchor, about one in
    25 bytes. Runs are sorted by the rank of their anchor's 48 bytes and of all bytes
    they cover. Runs with a unique anchor hold no repeat. A run that covers the same
-   bytes as one before it repeats at all its starts. What is left are runs that differ
-   from others in part.
+   bytes as one before it repeats at all its starts; those that a task already sees
+   among its own texts are not sent to the sort by anchor, so that a string which
+   many texts share makes no large group. What is left are runs that differ from others
+   in part.
 2. For the starts of those, pairs (rank of 50 bytes, rank of the next 50) are sorted;
    equal pairs are equal 100-byte strings, and all but the first of a class repeat.
 3. Repeated starts become maximal removed runs of bytes in each document.
@@ -100,8 +102,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = np.uint64((1 << _RANK_BITS) - 1)
             key = (anchor & ~low) | (cover & low)
             rest = (cover & ~low) | n.astype(np.uint64)
-            docs = ids.take(pa.array(of + first))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rest.view(np.int64)), docs, pa.array(s0)], names=["key", "rest", "doc", "s0"])
+            key, rest = key.view(np.int64), rest.view(np.int64)
+            doc = ids.take(pa.array(of + first)).to_numpy(zero_copy_only=False)
+            # what this run of texts repeats within itself is known before the sort
+            order = np.lexsort((s0, doc, rest, key))
+            key, rest, doc, s0, n = key[order], rest[order], doc[order], s0[order], n[order]
+            again = np.zeros(len(key), bool)
+            again[1:] = (key[1:] == key[:-1]) & (rest[1:] == rest[:-1])
+            same = np.zeros(len(key), bool)
+            same[1:] = (doc[1:] == doc[:-1]) & (s0[1:] == s0[:-1])
+            kept = ~(again & same)
+            whole = pa.array((s0 << _N_BITS | n)[kept], mask=~again[kept])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[kept]) for x in (key, rest, doc, s0)], whole], names=["key", "rest", "doc", "s0", "whole"])
 
 
 def _repeated(column: np.ndarray, last) -> np.ndarray:
@@ -119,6 +131,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     last = (None,) * 4
     for batch in batches:
+        known = batch.filter(pa.compute.is_valid(batch.column(4)))
+        if len(known):
+            yield pa.RecordBatch.from_arrays([known.column(2), known.column(4), pa.nulls(len(known), pa.int64())], names=["doc", "whole", "part"])
+        batch = batch.filter(pa.compute.is_null(batch.column(4)))
         if not len(batch):
             continue
         key, rest, doc, s0 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
@@ -216,8 +232,10 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc, starts, ends): the byte runs to remove from each document that has any."""
     docs = documents_of(docs, id_col, text_col)
     texts = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select(F.col("doc_id").cast("long").alias("doc"), "text")
-    ranked = texts.mapInArrow(_runs, "key bigint, rest bigint, doc bigint, s0 bigint")
-    ranked = ranked.repartition(F.shiftright("key", _RANK_BITS)).sortWithinPartitions("key", "rest", "doc", "s0")
+    ranked = texts.mapInArrow(_runs, "key bigint, rest bigint, doc bigint, s0 bigint, whole bigint")
+    # runs that are known to repeat go apart by their document, not with their anchor
+    place = F.when(F.col("whole").isNotNull(), F.xxhash64("doc")).otherwise(F.shiftright("key", _RANK_BITS))
+    ranked = ranked.repartition(place).sortWithinPartitions("key", "rest", "doc", "s0")
     judged = ranked.mapInArrow(_judge, "doc bigint, whole bigint, part bigint")
     by_doc = checkpoint(judged.groupBy("doc").agg(F.collect_list("whole").alias("whole"), F.collect_list("part").alias("part")))
 
