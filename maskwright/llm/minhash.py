@@ -159,24 +159,19 @@ _PAIR = "a binary, b binary"
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): nodes of ``edges`` (a, b) have one label if they are connected.
+    """Label each node of ``edges`` (a, b) with one node of its component.
 
-    Every round merges each node into a neighbour and contracts the edges; edges and
-    labels are cut at each round. The neighbour is the least node in even rounds, which
-    takes stars at once, and the one of the least hash in odd rounds, which shortens
-    paths of any order by a constant share. Groups are only ever aggregated.
+    Every round merges each node into its least neighbour and contracts the edges, cut
+    at each round. Nodes are digests, so their order has nothing to do with the edges:
+    a round leaves at most local minima, a constant share of any component, and a star
+    is gone after two. Groups are only ever aggregated.
     """
     edges = checkpoint(edges.filter("a <> b").distinct())
     nodes = edges.select("a").union(edges.select("b")).distinct()
-    labels, turn = checkpoint(nodes.select(F.col("a").alias("node"), F.col("a").alias("label"))), 0
+    labels = checkpoint(nodes.select(F.col("a").alias("node"), F.col("a").alias("label")))
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if turn % 2:
-            ranked = F.least(F.min(F.struct(F.xxhash64(F.lit(turn), "b").alias("h"), F.col("b").alias("p"))), F.struct(F.xxhash64(F.lit(turn), "a").alias("h"), F.col("a").alias("p")))
-            parent = ranked.getField("p")
-        else:
-            parent = F.least(F.min("b"), F.col("a"))
-        parents, turn = checkpoint(both.groupBy("a").agg(parent.alias("p"))), turn + 1
+        parents = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
         labels = checkpoint(
             labels.join(parents.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
         )

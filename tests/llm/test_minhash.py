@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -118,6 +119,8 @@ def test_shingles_do_not_cross_documents():
 
 
 def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)], "a binary, b binary")
-    labels = minhash.components(edges).collect()
-    assert len(labels) == 41 and len({bytes(r.label) for r in labels}) == 1
+    digests = [hashlib.md5(str(i).encode()).digest() for i in range(60)]
+    edges = spark.createDataFrame([(digests[i], digests[i + 1]) for i in range(59) if i != 30], "a binary, b binary")
+    labels = {bytes(r.node): bytes(r.label) for r in minhash.components(edges).collect()}
+    assert len(labels) == 60
+    assert [len({labels[d] for d in part}) for part in (digests[:31], digests[31:], digests)] == [1, 1, 2]
