@@ -106,14 +106,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = ids.take(pa.array(of + first)).to_numpy(zero_copy_only=False)
             # what this run of texts repeats within itself is known before the sort
             order = np.lexsort((s0, doc, rest, key))
-            key, rest, doc, s0, n = key[order], rest[order], doc[order], s0[order], n[order]
-            again = np.zeros(len(key), bool)
-            again[1:] = (key[1:] == key[:-1]) & (rest[1:] == rest[:-1])
-            same = np.zeros(len(key), bool)
-            same[1:] = (doc[1:] == doc[:-1]) & (s0[1:] == s0[:-1])
-            kept = ~(again & same)
+            a, b = order[:-1], order[1:]
+            again, kept = np.zeros(len(key), bool), np.ones(len(key), bool)
+            again[b] = (key[b] == key[a]) & (rest[b] == rest[a])
+            kept[b] = ~(again[b] & (doc[b] == doc[a]) & (s0[b] == s0[a]))
             whole = pa.array((s0 << _N_BITS | n)[kept], mask=~again[kept])
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[kept]) for x in (key, rest, doc, s0)], whole], names=["key", "rest", "doc", "s0", "whole"])
+            # rows stay in the texts' order, and known runs need no keys: both shrink the shuffle
+            key, rest = np.where(again, 0, key), np.where(again, 0, rest)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[kept]) for x in (key, rest, doc, np.where(again, 0, s0))], whole], names=["key", "rest", "doc", "s0", "whole"])
 
 
 def _repeated(column: np.ndarray, last) -> np.ndarray:
