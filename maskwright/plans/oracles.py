@@ -191,6 +191,16 @@ n AS (SELECT doc_id, label, count(*) AS n FROM sp GROUP BY doc_id, label)
 SELECT label, sum(n)::BIGINT AS n_spans, count(*) AS n_rows FROM n GROUP BY label"""
 
 
+_RESULT = f"""
+WITH {_spans(q.RULES)},
+x AS (SELECT sp.*, substr(d.text, "start" + 1, "end" - "start") AS own FROM sp JOIN documents d ON d.doc_id = sp.doc_id),
+n AS (SELECT doc_id, label, count(*) AS n FROM x GROUP BY doc_id, label),
+m AS (SELECT doc_id, sum(n)::INTEGER AS spans, string_agg('"' || label || '":' || n, ',' ORDER BY label) AS labels FROM n GROUP BY doc_id),
+j AS (SELECT doc_id, string_agg('{{"label":"' || label || '","start":' || "start" || ',"end":' || "end" || ',"text":"' || own || '","placeholder":"<' || label || '>"}}', ',' ORDER BY "start") AS found FROM x GROUP BY doc_id)
+SELECT d.doc_id, '{{"output_mode":"typed","span_count":' || coalesce(m.spans, 0) || ',"by_label":{{' || coalesce(m.labels, '') || '}},"decoded_mismatch":false}}' AS summary,
+  '[' || coalesce(j.found, '') || ']' AS detected_spans, 1 AS schema_version
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN j ON j.doc_id = d.doc_id"""
+
 _DOCS = f"WITH {_spans(q.RULES)}"
 _SP = 'SELECT doc_id, label, "start", "end" FROM sp'
 ORACLE_SQL = {
@@ -207,6 +217,7 @@ SELECT c_custkey, value, (11 - list_sum(list_transform(range(1, 13), lambda i: s
     "redact_generic": f"{_DOCS}, {_masked('documents', 'doc_id', _text('<REDACTED>'))}",
     "redact_entity_filter": f"{_DOCS}, {_masked('documents', 'doc_id', _TYPED, "label IN ('EMAIL', 'PHONE')")}",
     "redact_conversations": f"WITH {_spans(q.RULES, 'conversations', 'conv_id, turn')}, {_masked('conversations', 'conv_id, turn', _TYPED, more=', d.role')}",
+    "result_json": _RESULT,
     "highlight_plain": f"SELECT doc_id, redacted_text AS highlighted FROM ({_DOCS}, {_masked('documents', 'doc_id', "'[{}](' || label || ')'")})",
     "label_summary": _summary(),
     "script_counts": f"WITH {_EVERY} SELECT id, {_SCRIPTS} FROM t",
