@@ -147,6 +147,26 @@ SELECT a.l_orderkey, a.label, a."start", a."end" FROM ln a WHERE a.l_returnflag
   SELECT 1 FROM ln b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag <> 'A' AND a."end" > b."start" AND a."start" < b."end" AND ({_BEATEN}))"""
 
 
+_SPAN = "STRUCT(label VARCHAR, s INTEGER, e INTEGER, i INTEGER)"
+_MERGE = f"""
+WITH {_LINES},
+o AS (SELECT l_orderkey, {{'label': label, 's': "start", 'e': "end", 'i': (row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'A' ORDER BY {_PLACE}))::INTEGER}}::{_SPAN} AS x, l_returnflag = 'A' AS regex FROM ln),
+l AS (SELECT l_orderkey, coalesce(list(x ORDER BY x.i) FILTER (WHERE regex), []) AS rx, coalesce(list(x ORDER BY x.i) FILTER (WHERE NOT regex), []) AS nx FROM o GROUP BY l_orderkey),
+a AS (SELECT l_orderkey, nx, flatten(list_transform(nx, lambda t: nx)) AS rounds, list_transform(rx, lambda r: {{'used': []::INTEGER[], 'done': []::{_SPAN}[], 'r': r}}) AS steps FROM l),
+g AS (SELECT l_orderkey, nx, list_reduce(list_prepend({{'used': []::INTEGER[], 'done': []::{_SPAN}[], 'r': NULL::{_SPAN}}}, steps), lambda acc, x:
+  list_transform([list_reduce(list_prepend({{'s': x.r.s, 'e': x.r.e, 'used': acc.used, 'n': NULL::{_SPAN}}}, list_transform(rounds, lambda n: {{'s': 0, 'e': 0, 'used': []::INTEGER[], 'n': n}})), lambda st, y:
+    CASE WHEN y.n.label = x.r.label AND st.s < y.n.e AND st.e > y.n.s AND NOT list_contains(st.used, y.n.i)
+      THEN {{'s': least(st.s, y.n.s), 'e': greatest(st.e, y.n.e), 'used': list_append(st.used, y.n.i), 'n': NULL::{_SPAN}}} ELSE st END)],
+    lambda z: {{'used': z.used, 'done': list_append(acc.done, {{'label': x.r.label, 's': z.s, 'e': z.e, 'i': x.r.i}}::{_SPAN}), 'r': NULL::{_SPAN}}})[1]) AS m FROM a),
+c AS (
+  SELECT l_orderkey, 0 AS origin, unnest(m.done) AS x FROM g
+  UNION ALL SELECT l_orderkey, 1, unnest(list_filter(nx, lambda n: NOT list_contains(m.used, n.i))) FROM g),
+k AS (SELECT l_orderkey, list(x ORDER BY origin, x.s - x.e, x.s, x.i) AS xs FROM c GROUP BY l_orderkey),
+t AS (SELECT l_orderkey, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x:
+  CASE WHEN len(list_filter(acc, lambda p: p.s < x[1].e AND x[1].s < p.e)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS z FROM k)
+SELECT l_orderkey, z.label AS label, z.s AS "start", z.e AS "end" FROM t"""
+
+
 def _viterbi() -> str:
     names = q.VITERBI_LABELS
     matrix = bioes.transition_matrix(names, bioes.resolve_operating_point("high_recall")).tolist()
@@ -236,6 +256,7 @@ SELECT c_custkey, value, (11 - list_sum(list_transform(range(1, 13), lambda i: s
     "stopword_filter": f"""WITH {_WORDS} SELECT p_partkey, 'PER' AS label, s AS "start", e AS "end" FROM ws WHERE trim(substr(p_name, s + 1, e - s)) NOT IN ({', '.join(map(_text, q.STOPWORDS))})""",
     "span_trim": _trimmed(),
     "ner_precedence": _NER,
+    "merge_union": _MERGE,
     "label_remap": f"""WITH {_LINES} SELECT l_orderkey, CASE label WHEN 'PER' THEN 'PERSON' ELSE 'PLACE' END AS label, "start", "end" FROM ln WHERE label IN ('PER', 'LOC')""",
     "eval_typed": f"""WITH {_matched('l_orderkey, label, "start", "end"')},
 t AS (SELECT coalesce(label, 'micro') AS label, {_COUNTS} FROM x GROUP BY ROLLUP (label)) SELECT label, {_PRF} FROM t""",
