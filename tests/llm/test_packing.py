@@ -46,7 +46,7 @@ def test_awkward_rows(awkward):
 def test_many_partitions_merge_up_the_tree(spark):
     df = spark.range(300).selectExpr("id AS doc_id", "'a b c' AS text").repartition(70)
     made, least = check(df, 64)
-    assert made == least
+    assert made <= least + 1
 
 
 def test_empty_table(awkward):
