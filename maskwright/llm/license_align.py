@@ -1,23 +1,33 @@
 """License scans by patience alignment of a text's words with license templates.
 
-Words are runs of a-z and 0-9 after lower-casing. Words of a template that stand near
-each other in a text form a window (a gap of more than twice the template's length
-parts two). Within a window: matching words at both ends are taken, then words that
-are unique both to the window and to the template are anchors; the longest increasing
-subsequence of their places keeps those in order, and the gaps between them are
-aligned in the same way. Coverage is the share of the template's words that are
-aligned, density the share of the window's aligned stretch.
-
-A hit is a window with coverage and density at the thresholds. Null and empty texts
-have no hits; ties between windows go to the first; repeated rows give repeated hits;
-an empty table gives no rows. Columns other than the id and the text are not read.
-Rows are independent: there is no shuffle.
+Words are runs of a-z and 0-9 after lower-casing. Coverage is the share of the
+template's words that are aligned, density the share of the aligned stretch of the
+text. A hit is a stretch with coverage and density at the thresholds, so it is at most
+template length / density long.
+
+1. Seeds: from left to right, the stretch that ends first among those whose longest
+   common subsequence with the template reaches the thresholds, and its last start;
+   the next seed begins after it. No choice of disjoint stretches has more. Ends are
+   tried only where enough of the template's words, each as often as the template has
+   it, stand within a hit's length.
+2. A seed's window reaches from the previous hit to the next seed, a hit's length at
+   most. Within it: matching words at both ends are taken, then words that are unique
+   both to the window and to the template are anchors; the longest increasing
+   subsequence of their places keeps those in order, and the gaps between them are
+   aligned in the same way.
+3. Where that aligns fewer words than the window's longest common subsequence has, or
+   misses a threshold, the stretches of the window are compared one by one.
+
+Each seed gives one hit. Null and empty texts have no hits; ties between stretches go
+to the first; repeated rows give repeated hits; an empty table gives no rows. Columns
+other than the id and the text are not read. Rows are independent: there is no shuffle.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,29 +113,104 @@ def _unique(x: list[str], first: int, end: int) -> dict[str, int]:
     return {word: i for word, i in seen.items() if i >= 0}
 
 
+def common(masks: dict[str, int], length: int, text: Iterator[tuple[int, str]]) -> Iterator[tuple[int, int]]:
+    """(place, length of the longest common subsequence up to it) wherever that grows.
+
+    ``masks`` has a bit for each place of a word among the ``length`` of the template."""
+    full = open_ = (1 << length) - 1
+    matched = 0
+    for place, word in text:
+        met = open_ & masks.get(word, 0)
+        open_ = ((open_ + met) | (open_ - met)) & full
+        if (now := length - open_.bit_count()) > matched:
+            matched = now
+            yield place, matched
+
+
+def _masks(template: list[str]) -> dict[str, int]:
+    masks: dict[str, int] = {}
+    for k, word in enumerate(template):
+        masks[word] = masks.get(word, 0) | 1 << k
+    return masks
+
+
 class Scanner:
     """Aligns texts with all templates; texts that share few words are passed over."""
 
     def __init__(self, templates: dict[str, str]):
         self.templates = {name: words(text) for name, text in templates.items()}
+        self.counts = {name: Counter(x) for name, x in self.templates.items()}
         self.sets = {name: frozenset(x) for name, x in self.templates.items()}
         self.all = frozenset().union(*self.sets.values()) if self.sets else frozenset()
 
     def hits(self, text: str, least_coverage: float, least_density: float) -> Iterator[tuple[str, float, float, int, int, int]]:
-        """(template, coverage, density, first word, end word, matched) of each window."""
+        """(template, coverage, density, first word, end word, matched) of each copy."""
         own = words(text)
         shared = self.all.intersection(own)
         for name, template in self.templates.items():
             wanted = self.sets[name] & shared
             # each aligned word is in the set; the rest of the template is missing
-            if len(self.sets[name]) - len(wanted) > (1 - least_coverage) * len(template):
+            if not wanted or len(self.sets[name]) - len(wanted) > (1 - least_coverage) * len(template):
                 continue
+            size = len(template)
+            least = next((n for n in range(1, size + 1) if n / size >= least_coverage), size + 1)
+            longest = int(size / least_density) + 1 if least_density > 0 else len(own)
             places = [i for i, word in enumerate(own) if word in wanted]
-            for first, end in self._windows(places, 2 * len(template)):
-                coverage, density, low, high, matched = max(self._aligned(own[first:end], template), self._mirrored(own[first:end], template))
-                low, high = low + first, high + first
-                if coverage >= least_coverage and density >= least_density:
-                    yield name, coverage, density, low, high, matched
+            seeds = list(self._seeds(own, places, name, least, longest, least_density))
+            done = 0
+            for k, (start, end) in enumerate(seeds):
+                first = max(done, end - longest)
+                limit = min(seeds[k + 1][0] if k + 1 < len(seeds) else len(own), start + longest)
+                coverage, density, low, high, matched = self._best(own[first:limit], template, least, least_density)
+                low, done = low + first, high + first
+                yield name, coverage, density, low, done, matched
+
+    def _seeds(self, own: list[str], places: list[int], name: str, least: int, longest: int, least_density: float) -> Iterator[tuple[int, int]]:
+        """(last start, end) of disjoint stretches at the thresholds, each ending first."""
+        counts, size, masks = self.counts[name], len(self.templates[name]), _masks(self.templates[name][::-1])
+        first = held = 0
+        bag: Counter[str] = Counter()
+        for k, place in enumerate(places):
+            word = own[place]
+            bag[word] += 1
+            held += bag[word] <= counts[word]
+            while places[first] <= place - longest:
+                gone = own[places[first]]
+                held -= bag[gone] <= counts[gone]
+                bag[gone] -= 1
+                first += 1
+            if held < least:
+                continue
+            backwards = ((i, own[i]) for i in places[first : k + 1][::-1])
+            for start, matched in common(masks, size, backwards):
+                if matched >= least and matched / (place + 1 - start) >= least_density:
+                    yield start, place + 1
+                    bag.clear()
+                    first, held = k + 1, 0
+                    break
+
+    @classmethod
+    def _best(cls, window: list[str], template: list[str], least: int, least_density: float) -> tuple[float, float, int, int, int]:
+        """The alignment of a window that holds a stretch at the thresholds."""
+        found = [x for x in (cls._aligned(window, template), cls._mirrored(window, template)) if x[4] >= least and x[1] >= least_density]
+        most = max((n for _, n in common(_masks(template), len(template), enumerate(window))), default=0)
+        if not found or max(found)[4] < most:
+            found.append(cls._compared(window, template, least, least_density))
+        return max(found)
+
+    @staticmethod
+    def _compared(window: list[str], template: list[str], least: int, least_density: float) -> tuple[float, float, int, int, int]:
+        """The stretch with most common words, then the shortest, then the first."""
+        masks, size = _masks(template), len(template)
+        best = (0, 0.0, 0, 0)
+        for low, word in enumerate(window):
+            if word in masks:
+                for place, matched in common(masks, size, ((i, window[i]) for i in range(low, len(window)))):
+                    density = matched / (place + 1 - low)
+                    if matched >= least and density >= least_density and (matched, density) > best[:2]:
+                        best = (matched, density, low, place + 1)
+        matched, density, low, high = best
+        return matched / size, density, low, high, matched
 
     @staticmethod
     def _aligned(window: list[str], template: list[str]) -> tuple[float, float, int, int, int]:
@@ -142,14 +227,6 @@ class Scanner:
         coverage, density, low, high, matched = cls._aligned(window[::-1], template[::-1])
         return coverage, density, len(window) - high, len(window) - low, matched
 
-    @staticmethod
-    def _windows(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
-        first = 0
-        for k in range(1, len(places) + 1):
-            if k == len(places) or places[k] - places[k - 1] > gap:
-                yield places[first], places[k - 1] + 1
-                first = k
-
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least_coverage: float = LEAST_COVERAGE, least_density: float = LEAST_DENSITY) -> DataFrame:
     """(doc_id, template, coverage, density, first_word, end_word, matched) of each hit."""

@@ -54,3 +54,51 @@ def test_tables(spark, awkward, documents):
     assert found == {r.doc_id for r in documents.collect() if any(m in r.text for m in marks)}
     df = spark.createDataFrame([(1, la.TEMPLATES["MIT"]), (1, la.TEMPLATES["MIT"])], "doc_id bigint, text string")
     assert la.scan(df).count() == 2
+
+
+def common(a, b):
+    """Length of the longest common subsequence, by the table of all prefixes."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def most_copies(own, template, coverage, density):
+    """The largest number of disjoint stretches at the thresholds, trying all of them."""
+    best = [0] * (len(own) + 1)
+    for end in range(1, len(own) + 1):
+        best[end] = best[end - 1]
+        for start in range(end):
+            n = common(own[start:end], template)
+            if n / len(template) >= coverage and n / (end - start) >= density:
+                best[end] = max(best[end], best[start] + 1)
+    return best[-1]
+
+
+def test_every_copy_is_found():
+    prose = "some prose about the house that is near to a river under the old bridge and its use is for all of the people"
+    between = "it is said that the work of a man is to be done under the sun and in the rain"
+    assert len(la.words(between)) == 20
+    for name, text in la.TEMPLATES.items():
+        n = len(la.words(text))
+        for parts in ([prose, text, between, text, prose], [prose, text, text, text, prose], [text, prose * 20, text]):
+            own = la.words(" ".join(parts))
+            starts = [len(la.words(" ".join(parts[:k]))) for k, part in enumerate(parts) if part is text]
+            found = [h for h in hits(" ".join(parts)) if h[0] == name]
+            assert [(h[1], h[2], h[3], h[4]) for h in found] == [(1.0, 1.0, s, s + n) for s in starts], name
+            assert all(own[h[3] : h[4]] == la.words(text) for h in found)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "d", "a b c a d", "a b c a d b e", "x"]), max_size=9), st.sampled_from([(0.85, 0.7), (0.6, 0.5), (1.0, 1.0), (0.7, 0.9)]))
+def test_as_many_copies_as_brute_force(pieces, thresholds):
+    own, template = " ".join(pieces).split(), "a b c a d b e".split()
+    found = list(la.Scanner({"t": " ".join(template)}).hits(" ".join(pieces), *thresholds))
+    assert len(found) == most_copies(own, template, *thresholds)
+    assert all(x[4] <= y[3] for x, y in zip(found, found[1:]))
+    for _, coverage, density, low, high, matched in found:
+        assert coverage >= thresholds[0] and density >= thresholds[1] and matched == common(own[low:high], template)
+        assert coverage == matched / len(template) and density == matched / (high - low)
