@@ -17,7 +17,9 @@
 
 Everything random comes from ``seed`` and stable hashes; reruns agree. A null text
 has size 0; a source of size 0 has target 0 and is not drawn. Null sources form one
-source. Rows of the same doc_id are drawn together. An empty table gives no rows.
+source. Rows that agree in doc_id, source and text are drawn together, as one document
+of their common size; rows that share only a doc_id, null included, are documents of
+their own. Every row has a row in the result. An empty table gives no rows.
 Other columns are kept by ``mix_documents`` under their names. The driver holds one
 row of numbers per source and one number per source and shard.
 """
@@ -81,21 +83,24 @@ class Mix:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED):
         self.seed, self.shards = seed, shards
-        sized = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size")))
-        per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("digest"), count_words(F.col(text_col)).alias("size"))
+        sized = checkpoint(rows.groupBy("doc_id", "source", "digest", "size").agg(F.count(F.lit(1)).alias("n_rows")))
+        per_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.sum("n_rows").alias("n_docs"))
         self.sources = checkpoint(targets(per_source))
         blocks = F.least(F.ceil(F.col("n_docs") / BLOCK_DOCS), F.lit(MOST_BLOCKS)).cast("long")
+        # rows without an id are spread over the blocks by their texts
+        place = F.when(F.col("doc_id").isNotNull(), _hash(seed, F.col("doc_id"))).otherwise(_hash(seed, F.col("digest")))
         named = self.sources.withColumn("blocks", blocks).withColumnRenamed("source", "_source")
         self.docs = checkpoint(
             sized.join(named, sized["source"].eqNullSafe(named["_source"]), "inner")
-            .select("doc_id", "size", "ordinal", "source_size", "target", F.pmod(_hash(seed, F.col("doc_id")), F.col("blocks")).alias("block"))
+            .select("doc_id", "source", "digest", "n_rows", "size", "ordinal", "source_size", "target", F.pmod(place, F.col("blocks")).alias("block"))
         )
         self.blocks = checkpoint(self._drawn_blocks())
 
     def _drawn_blocks(self) -> DataFrame:
         """(ordinal, block, rank, passes, room): passes over the whole block, and the
         words that one further, partial pass may take (null where there is none)."""
-        sums = self.docs.groupBy("ordinal", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+        sums = self.docs.groupBy("ordinal", "block").agg(F.sum(F.col("size") * F.col("n_rows")).alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
         permuted = Window.partitionBy("ordinal").orderBy(_hash(self.seed + 1, F.col("ordinal"), F.col("block")), "block")
         whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
         before = F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -121,30 +126,33 @@ class Mix:
         return drawn.join(table, "ordinal").select("ordinal", "block", "pass", "room", shard.alias("shard"))
 
     def drawn_documents(self) -> DataFrame:
-        """(doc_id, size, source_size, target, pass, shard), a row for each time a
-        document is taken, and one with null pass and shard for documents that are not."""
-        inside = Window.partitionBy("ordinal", "block").orderBy(_hash(self.seed + 2, F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = self.docs.withColumn("up_to", F.sum("size").over(inside))
-        drawn = self.draws()
+        """(doc_id, source, digest, n_rows, size, source_size, target, draws): a row for
+        each document, with an array of (pass, shard), one for each time it is taken."""
+        words = F.col("size") * F.col("n_rows")
+        inside = Window.partitionBy("ordinal", "block").orderBy(_hash(self.seed + 2, F.col("doc_id")), "doc_id", "digest", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = self.docs.withColumn("up_to", F.sum(words).over(inside))
+        drawn = self.draws().groupBy("ordinal", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "room"))).alias("drawn"))
         # a partial pass takes the documents whose middle lies within the room
-        fits = F.col("room").isNull() | (F.col("up_to") - F.col("size") / 2 <= F.col("room"))
+        fits = F.filter("drawn", lambda d: d["room"].isNull() | (F.col("up_to") - words / 2 <= d["room"]))
+        taken = F.coalesce(F.transform(fits, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"))), F.expr("cast(array() as array<struct<pass int, shard int>>)"))
         joined = placed.join(drawn, ["ordinal", "block"], "left")
-        taken = F.col("pass").isNotNull() & fits
-        return joined.select("doc_id", "size", "source_size", "target", F.when(taken, F.col("pass")).alias("pass"), F.when(taken, F.col("shard")).alias("shard"))
+        return joined.select("doc_id", "source", "digest", "n_rows", "size", "source_size", "target", taken.alias("draws"))
 
     def result(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken of each document."""
-        rows = self.drawn_documents()
-        return rows.groupBy("doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("pass").isNotNull(), F.col("size")).otherwise(F.lit(0))).cast("long").alias("taken"))
+        """doc_id, size, source_size, target, taken of each row."""
+        rows = self.drawn_documents().withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+        return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
     return Mix(docs, **options).result()
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as drawn, with _shard and _position."""
-    mix = Mix(docs, id_col, **options)
-    taken = mix.drawn_documents().filter("pass is not null").select(F.col("doc_id").alias("_taken_id"), F.col("pass").alias("_pass"), F.col("shard").alias("_shard"))
-    rows = docs.join(taken, docs[id_col].eqNullSafe(taken["_taken_id"]))
-    return rows.withColumn("_position", _hash(mix.seed + 3, F.col("_shard"), F.col("_pass"), F.col("_taken_id"))).drop("_taken_id", "_pass")
+    mix = Mix(docs, id_col, text_col, source_col, **options)
+    taken = mix.drawn_documents().filter(F.size("draws") > 0).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"), F.col("draws").alias("_draws"))
+    # one row of taken at most for each row of docs
+    same = docs[id_col].eqNullSafe(taken["_id"]) & docs[source_col].eqNullSafe(taken["_source"]) & (F.xxhash64(docs[text_col]) == taken["_digest"])
+    rows = docs.join(taken, same).withColumn("_draw", F.explode("_draws")).withColumn("_shard", F.col("_draw.shard"))
+    return rows.withColumn("_position", _hash(mix.seed + 3, F.col("_shard"), F.col("_draw.pass"), F.col("_id"), F.col("_digest"))).drop("_id", "_source", "_digest", "_draws", "_draw")

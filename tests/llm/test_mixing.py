@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,3 +85,26 @@ def test_targets_add_up(spark, sizes):
     df = spark.createDataFrame([(f"s{i}", n, 1) for i, n in enumerate(sizes)], "source string, source_size bigint, n_docs bigint")
     rows = mixing.targets(df).collect()
     assert abs(sum(r.target or 0 for r in rows) - sum(sizes)) < 1e-6
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c", "x")] * 4 + [(1, "d e", "x"), (1, "a b c", "y"), (2, "f", "y"), (2, "g", "y")]
+    rows += [(None, "h i", "x")] * 3 + [(None, f"w{k} " * (k % 5 + 1), s) for k in range(90) for s in ("x", "z", None)] + [(k, "v " * (k % 7), "z") for k in range(3, 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    count = Counter(rows)
+    size = {r: len(WORD.findall(r[1])) for r in count}
+    result = mixing.mix_digest(df).collect()
+    assert Counter((r.doc_id, r.size) for r in result) == Counter((r[0], size[r]) for r in rows)
+    mixed = Counter((r.doc_id, r.text, r.source) for r in mixing.mix_documents(df).collect())
+    for r, n in mixed.items():
+        assert n % count[r] == 0 and n <= 3 * count[r]
+    in_result, in_mix = Counter(), Counter()
+    for r in result:
+        in_result[r.doc_id, r.size] += r.taken
+    for r, n in mixed.items():
+        in_mix[r[0], size[r]] += n * size[r]
+    assert +in_result == +in_mix
+    for name in ("x", "y", "z", None):
+        (target,) = {r.target for r in result if r.source_size == sum(size[x] for x in rows if x[2] == name)}
+        largest = max(size[r] * n for r, n in count.items() if r[2] == name)
+        assert abs(sum(n * size[r] for r, n in mixed.items() if r[2] == name) - target) <= largest
