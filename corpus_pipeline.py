@@ -31,8 +31,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them, shuffled within shards."""
-    return mixing.mix_documents(docs).sortWithinPartitions("_shard", "_position").drop("_shard", "_position")
+    """Documents as often as their source's target takes them, a partition a shard, shuffled within."""
+    return mixing.shuffled(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@
 3. The draws of a pass over a source are its quota. A binary tree splits the quotas
    of all sources among the shards: at each node the left half of the shards gets
    its exact number of draws by a multivariate hypergeometric draw. A shard takes the
-   next blocks of each source's permutation, so shards are disjoint; inside a shard
+   next blocks of each source's permutation, so shards are disjoint. The result names
+   the shards of each row; ``shuffled`` writes a partition for each shard, in which
    rows are ordered by a hash.
 
 Everything random comes from ``seed`` and stable hashes; reruns agree. A null text
@@ -36,7 +37,9 @@ MOST_REPEATS = 3
 WEIGHT_CYCLE = 3
 BLOCK_DOCS = 64
 MOST_BLOCKS = 1 << 16
+#: Shards at least, and the words of one where that makes more.
 SHARDS = 16
+SHARD_WORDS = 1 << 23
 SEED = 11
 
 
@@ -81,12 +84,14 @@ def _hash(seed: int, *columns: Column) -> Column:
 class Mix:
     """The draws of one mix over ``docs``."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED):
-        self.seed, self.shards = seed, shards
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = SEED):
+        self.seed = seed
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("digest"), count_words(F.col(text_col)).alias("size"))
         sized = checkpoint(rows.groupBy("doc_id", "source", "digest", "size").agg(F.count(F.lit(1)).alias("n_rows")))
         per_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.sum("n_rows").alias("n_docs"))
         self.sources = checkpoint(targets(per_source))
+        words = self.sources.agg(F.sum("source_size")).first()[0] or 0
+        self.shards = shards or max(SHARDS, -(-words // SHARD_WORDS))
         blocks = F.least(F.ceil(F.col("n_docs") / BLOCK_DOCS), F.lit(MOST_BLOCKS)).cast("long")
         # rows without an id are spread over the blocks by their texts
         place = F.when(F.col("doc_id").isNotNull(), _hash(seed, F.col("doc_id"))).otherwise(_hash(seed, F.col("digest")))
@@ -139,9 +144,10 @@ class Mix:
         return joined.select("doc_id", "source", "digest", "n_rows", "size", "source_size", "target", taken.alias("draws"))
 
     def result(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken of each row."""
+        """doc_id, size, source_size, target, taken and shards of each row; shards has
+        one number for each time the row is taken."""
         rows = self.drawn_documents().withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
-        return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+        return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
@@ -150,7 +156,17 @@ def mix_digest(docs: DataFrame, **options) -> DataFrame:
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as drawn, with _shard and _position."""
+    return _placed(Mix(docs, id_col, text_col, source_col, **options), docs, id_col, text_col, source_col)
+
+
+def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix with the columns of ``docs``: partition k holds shard k in its order."""
     mix = Mix(docs, id_col, text_col, source_col, **options)
+    dealt = _placed(mix, docs, id_col, text_col, source_col).repartitionById(mix.shards, F.col("_shard"))
+    return dealt.sortWithinPartitions("_position").drop("_shard", "_position")
+
+
+def _placed(mix: Mix, docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     taken = mix.drawn_documents().filter(F.size("draws") > 0).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"), F.col("draws").alias("_draws"))
     # one row of taken at most for each row of docs
     same = docs[id_col].eqNullSafe(taken["_id"]) & docs[source_col].eqNullSafe(taken["_source"]) & (F.xxhash64(docs[text_col]) == taken["_digest"])

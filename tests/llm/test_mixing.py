@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import mixing
 
@@ -108,3 +109,39 @@ def test_repeated_and_missing_ids(spark):
         (target,) = {r.target for r in result if r.source_size == sum(size[x] for x in rows if x[2] == name)}
         largest = max(size[r] * n for r, n in count.items() if r[2] == name)
         assert abs(sum(n * size[r] for r, n in mixed.items() if r[2] == name) - target) <= largest
+
+
+def test_shards_are_the_quotas(spark):
+    df = spark.createDataFrame([(k, "w " * (k % 9 + 1), "abcd"[k * k % 7 % 4]) for k in range(400)], "doc_id bigint, text string, source string")
+    mix = mixing.Mix(df, shards=5)
+    draws = mix.draws().collect()
+    ordinals = sorted({r.ordinal for r in draws})
+    quotas = np.array([sum(r.ordinal == o for r in draws) for o in ordinals])
+    split = mixing.split_quotas(quotas, 5, np.random.default_rng(mixing.SEED))
+    assert [[sum(r.ordinal == o and r.shard == k for r in draws) for k in range(5)] for o in ordinals] == split.tolist()
+    of = {(r.ordinal, r.block): [] for r in draws}
+    for r in draws:
+        of[r.ordinal, r.block].append((r["pass"], r.room is None, r.shard))
+    places = {r.doc_id: of.get((r.ordinal, r.block), []) for r in mix.docs.collect()}
+    for r in mixing.mix_digest(df, shards=5).collect():
+        whole = [shard for _, is_whole, shard in sorted(places[r.doc_id]) if is_whole]
+        assert r.shards[: len(whole)] == whole and len(r.shards) * r.size == r.taken
+        assert r.shards[len(whole) :] in ([], [shard for _, is_whole, shard in places[r.doc_id] if not is_whole])
+
+
+def test_partitions_are_the_shards(documents):
+    named = Counter((r.doc_id, s) for r in mixing.mix_digest(documents).collect() for s in r.shards)
+    rows = mixing.shuffled(documents).select("doc_id", F.spark_partition_id().alias("k")).collect()
+    assert mixing.shuffled(documents).rdd.getNumPartitions() == mixing.SHARDS
+    assert Counter((r.doc_id, r.k) for r in rows) == named
+    ordered = [r.doc_id for r in mixing.mix_documents(documents).orderBy("_shard", "_position").collect()]
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.k)] == ordered
+    assert mixing.shuffled(documents).columns == documents.columns
+
+
+def test_the_stage_writes_shards(spark, documents):
+    import corpus_pipeline
+
+    named = Counter((r.doc_id, s) for r in mixing.mix_digest(documents).collect() for s in r.shards)
+    stage = corpus_pipeline.source_mix(spark, documents, "").select("doc_id", F.spark_partition_id().alias("k")).collect()
+    assert Counter((r.doc_id, r.k) for r in stage) == named
