@@ -29,7 +29,7 @@ from maskwright.llm.common import SPACE_CHARS, SPACES, WORD, documents_of
 
 SAMPLE_ROWS = 512
 SYMBOLS = "[#*$%&|<>]"
-#: Bits of a window's place in the long that also holds its hash; 2**24 words.
+#: Bits of a window's place in the long that also holds its hash; longer texts sort structs.
 _PLACE_BITS = 24
 
 
@@ -70,32 +70,60 @@ def _let(value: Column, body) -> Column:
 def n_repeat_words(text: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more.
 
-    Windows are longs of a 40-bit hash and their place; sorting puts equal windows
-    side by side, where their words are compared. Texts of up to 2**24 words.
+    Windows are longs of a 40-bit hash and their place; sorting puts equal hashes side
+    by side. Where all windows of a hash have the same words, these are the repeated
+    ones. Texts in which two differ, or with more places than the long holds, sort
+    structs of the 64-bit hash, the words and the place: equal windows are then side by
+    side whatever their hashes, at about ten times the cost.
     """
-    mask = (1 << _PLACE_BITS) - 1
+    bits = _PLACE_BITS
 
     def place(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(mask)).cast("int")
+        return x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
-    def same(w: Column, x: Column, y: Column) -> Column:
-        equal = F.shiftright(x, _PLACE_BITS) == F.shiftright(y, _PLACE_BITS)
+    def like(x: Column, y: Column) -> Column:
+        return F.coalesce(F.shiftright(x, bits) == F.shiftright(y, bits), F.lit(False))
+
+    def differ(w: Column, x: Column, y: Column) -> Column:
+        equal = F.lit(True)
         for k in range(3):
             equal = equal & (F.get(w, place(x) + k) == F.get(w, place(y) + k))
-        return F.coalesce(equal, F.lit(False))
+        return ~equal
 
     def covered(at: Column) -> Column:
         widths = F.transform(at, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - i, F.lit(3))))
         return F.aggregate(widths, F.lit(0).cast("long"), lambda total, x: total + x)
 
-    def repeated(w: Column, keys: Column) -> Column:
-        found = F.filter(keys, lambda x, k: same(w, x, F.get(keys, k - 1)) | same(w, x, F.get(keys, k + 1)))
-        return _let(F.sort_array(F.transform(found, place)), covered)
+    def key(w: Column, i: Column) -> Column:
+        three = [F.get(w, i + k) for k in range(3)]
+        return F.struct(F.struct(F.xxhash64(*three), *three).alias("window"), i.alias("place"))
+
+    def same(x: Column, y: Column) -> Column:
+        return F.coalesce(x["window"] == y["window"], F.lit(False))
+
+    def by_words(keys: Column) -> Column:
+        found = F.filter(keys, lambda x, k: same(x, F.get(keys, k - 1)) | same(x, F.get(keys, k + 1)))
+        return _let(F.sort_array(F.transform(found, lambda x: x["place"])), covered)
+
+    def exact(w: Column) -> Column:
+        return _let(F.sort_array(F.transform(starts(w), lambda i: key(w, i))), by_words)
+
+    def shared(keys: Column) -> Column:
+        return F.filter(keys, lambda x, k: like(x, F.get(keys, k - 1)) | like(x, F.get(keys, k + 1)))
+
+    def settled(w: Column, found: Column) -> Column:
+        clashes = F.filter(found, lambda x, k: like(x, F.get(found, k - 1)) & differ(w, x, F.get(found, k - 1)))
+        return F.when(F.size(clashes) > 0, exact(w)).otherwise(_let(F.sort_array(F.transform(found, place)), covered))
+
+    def starts(w: Column) -> Column:
+        return F.sequence(F.lit(0), F.size(w) - 3)
+
+    def by_hashes(w: Column) -> Column:
+        keys = F.transform(starts(w), lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")))
+        return _let(F.sort_array(keys), lambda x: _let(shared(x), lambda found: settled(w, found)))
 
     def windows(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - 3)
-        keys = F.transform(starts, lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), _PLACE_BITS).bitwiseOR(i.cast("long")))
-        return F.when(F.size(w) >= 3, _let(F.sort_array(keys), lambda sorted_keys: repeated(w, sorted_keys))).otherwise(F.lit(0).cast("long"))
+        return F.when(F.size(w) < 3, F.lit(0).cast("long")).when(F.size(w) - 2 <= 1 << bits, by_hashes(w)).otherwise(exact(w))
 
     return _let(words(text), windows)
 

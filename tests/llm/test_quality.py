@@ -74,3 +74,16 @@ def test_clean_documents_stay(spark):
     text = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(120))
     df = spark.createDataFrame([(1, text), (2, "### $$$ " * 60 + text), (3, "same line of words\n" * 40)], "doc_id bigint, text string")
     assert {r.doc_id: r.kept for r in quality.judged(df).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_windows_whose_hashes_share_their_low_bits(spark):
+    """xxhash64 of (w12622, x, y) and (w2005369, x, y) agree in the lowest 40 bits."""
+    df = spark.createDataFrame([(1, "w12622 x y a w2005369 x y b w12622 x y c w2005369 x y")], "doc_id bigint, text string")
+    check(df)
+    assert quality.judged(df).first().n_repeat_words == 12
+
+
+def test_more_places_than_a_long_holds(spark, documents, monkeypatch):
+    monkeypatch.setattr(quality, "_PLACE_BITS", 5)
+    check(documents.limit(60))
+    check(spark.createDataFrame([(1, "a b c " + " ".join(f"w{k}" for k in range(200)) + " a b c"), (2, "a b c a b c")], "doc_id bigint, text string"))
