@@ -22,9 +22,19 @@ Jaccard similarity of 0.75 or more are linked; a component of links is a class.
 What is lost: a pair whose similarity is exactly at the threshold shares no bucket
 with probability 5e-6, and pruning misses at most ``miss_probability`` a batch.
 
+The index of step 2 holds only shingles that sets of different components share, each
+set's in one order, rarest first. A template that a large family shares stands last in
+it; where the rest of the members' texts differs, they have too few shared shingles to
+reach the threshold and form no pair, and where the template alone reaches it, the hub
+has linked them before. What remains are members that share a rare shingle, enough
+others, and a bucket: pairs that are compared, less those of one component.
+
 Nulls and ties: a null text is empty. A document without words is linked with
-nothing. Rows that repeat a doc_id are separate rows of one document. Columns other
-than the id and the text are not read.
+nothing. Rows that repeat a doc_id are separate rows of one document. Of the rows of
+one class ``drop_near_duplicates`` keeps one: that of the least id (a null id last),
+then of the least text hash; of rows that agree in both, the first by their other
+columns. Rows without words all stay. Columns other than the id and the text are not
+read by ``near_duplicates``; names of other columns never clash with its own.
 """
 
 from __future__ import annotations
@@ -91,8 +101,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 signatures.append(signature(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[first:end], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "sig"],
+                [batch.column(0)[first:end], batch.column(2)[first:end], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "digest", "sig"],
             )
 
 
@@ -100,24 +110,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         wanted = batch.column(0)
         for first, end, data, offsets in text_slices(batch.column(1)):
-            own = [x.tobytes() for x in shingle_sets(data, offsets)]
-            rows = [i for i, x in enumerate(own) if xxhash.xxh3_128_digest(x) == wanted[first + i].as_py()]
+            own = shingle_sets(data, offsets)
+            rows = [i for i, x in enumerate(own) if xxhash.xxh3_128_digest(x.tobytes()) == wanted[first + i].as_py()]
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([wanted[first + i].as_py() for i in rows], pa.binary()), pa.array([own[i] for i in rows], pa.binary())],
+                    [pa.array([wanted[first + i].as_py() for i in rows], pa.binary()), pa.array([own[i].view(np.int64) for i in rows], pa.list_(pa.int64()))],
                     names=["digest", "hashes"],
                 )
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for *owner, hashes in zip(*[batch.column(k).to_pylist() for k in range(3)], batch.column(3), strict=True):
-            own = np.frombuffer(hashes.as_buffer(), np.int64)
-            for first in range(0, len(own), 1 << 16):
-                part = own[first : first + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(part), x)) for x in owner], pa.array(part)], names=["owner", "part", "n", "shingle"])
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), PERMUTATIONS)
 
@@ -140,21 +141,6 @@ def _pruner(bounds: list[int]):
     return prune
 
 
-def _confirmer(over: int, under: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if under * common >= over * (len(x) + len(y) - common):
-                    linked.append(i)
-            rows = pa.array(linked, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
-
-    return confirm
-
-
 _PAIR = "a binary, b binary"
 
 
@@ -190,8 +176,9 @@ class NearDuplicates:
         self.bounds = least_matches(self.over / self.under, miss_probability)
         self.docs = documents_of(docs, id_col, text_col)
         id_type = self.docs.schema["doc_id"].dataType
-        out = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])
-        self.sketches = checkpoint(self.docs.mapInArrow(_sketches, out))
+        kinds = {"doc_id": id_type, "text_key": T.LongType(), "n_shingles": T.LongType(), "digest": T.BinaryType(), "sig": T.BinaryType()}
+        out = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+        self.sketches = checkpoint(self.docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sketches, out))
         #: one row for each distinct set
         self.sets = checkpoint(
             self.sketches.filter("digest is not null")
@@ -213,25 +200,30 @@ class NearDuplicates:
     def _across(self, rest: DataFrame, hashes: DataFrame) -> DataFrame:
         """Pairs (a, b) of members of different components that may reach the threshold.
 
-        Sets of n and m shingles need 3 (n + m) / 7 in common at a threshold of 0.75.
-        In one order of all shingles, rarest first, two such sets have a common one
-        among the first n - common + 1 of the one and m - common + 1 of the other.
+        Sets of n and m shingles need 3 (n + m) / 7 in common at a threshold of 0.75, all
+        of them shingles that members of different components have. In one order of
+        these, rarest first, two such sets have a common one among the first
+        p - common + 1 of the one and q - common + 1 of the other, where they have p and q.
         """
         labels = checkpoint(rest.select("digest", "n", F.xxhash64("digest").alias("owner"), F.xxhash64("label").alias("part")).distinct())
         own = hashes.join(labels, "digest").select("owner", "part", "n", "hashes")
-        rows = own.mapInArrow(_exploded, "owner bigint, part bigint, n bigint, shingle bigint")
+        rows = own.select("owner", "part", "n", F.explode("hashes").alias("shingle"))
         known = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("part").alias("low"), F.max("part").alias("high"))
-        rows = rows.join(known.select("shingle", "sets", (F.col("low") != F.col("high")).alias("shared")), "shingle")
+        # cut here, so that a shingle which a whole family has is a skew that the join splits
+        known = checkpoint(known.filter("low <> high").select("shingle", "sets"))
+        if known.count() * 16 <= BROADCAST_BYTES:
+            known = F.broadcast(known)
+        rows = rows.join(known, "shingle")
         rarest = Window.partitionBy("owner").orderBy("sets", "shingle")
-        rows = rows.withColumns({"place": F.row_number().over(rarest), "most": F.count_if("shared").over(Window.partitionBy("owner"))})
+        rows = rows.withColumns({"place": F.row_number().over(rarest), "most": F.count(F.lit(1)).over(Window.partitionBy("owner"))})
         least = F.ceil(self.over * F.col("n") / self.under)
-        firsts = checkpoint(rows.filter(F.col("shared") & (F.col("most") >= least) & (F.col("place") <= F.col("n") - least + 1)).select("owner", "part", "n", "shingle", "place", "most"))
+        firsts = checkpoint(rows.filter((F.col("most") >= least) & (F.col("place") <= F.col("most") - least + 1)).select("owner", "part", "n", "shingle", "place", "most"))
         # each pair has a member outside the component that has most sets of the shingle
         largest = firsts.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("sets")).groupBy("shingle").agg(F.max(F.struct("sets", "part")).getField("part").alias("largest"))
         x, y = firsts.join(largest, "shingle").filter("part <> largest").alias("x"), firsts.alias("y")
         common = F.ceil(self.over * (F.col("x.n") + F.col("y.n")) / (self.over + self.under))
-        reach = (F.least("x.most", "y.most") >= common) & (F.col("x.place") <= F.col("x.n") - common + 1) & (F.col("y.place") <= F.col("y.n") - common + 1)
-        pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & reach)
+        reach = (F.col("x.place") <= F.col("x.most") - common + 1) & (F.col("y.place") <= F.col("y.most") - common + 1)
+        pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & reach & self._could_link("x.n", "y.n"))
         pairs = pairs.select(F.least("x.owner", "y.owner").alias("oa"), F.greatest("x.owner", "y.owner").alias("ob")).distinct()
         names = labels.select("owner", "digest")
         pairs = pairs.join(names.toDF("oa", "da"), "oa").join(names.toDF("ob", "db"), "ob")
@@ -250,16 +242,20 @@ class NearDuplicates:
         near = checkpoint(near)
         sets_a = hashes.select(F.col("digest").alias("a"), F.col("hashes").alias("x"))
         sets_b = hashes.select(F.col("digest").alias("b"), F.col("hashes").alias("y"))
-        return near.join(sets_b, "b").join(sets_a, "a").select("a", "b", "x", "y").mapInArrow(_confirmer(self.over, self.under), _PAIR)
+        # whole sets stay in the JVM, a pair at a time; batches of them would fill the workers
+        common = F.size(F.array_intersect("x", "y"))
+        enough = self.under * common >= self.over * (F.size("x") + F.size("y") - common)
+        return near.join(sets_b, "b").join(sets_a, "a").filter(enough).select("a", "b")
 
     def classes(self) -> DataFrame:
-        """(digest, component_id) for each distinct set that is not alone."""
+        """(digest, label, component_id) for each distinct set that is not alone; label
+        is one digest of the class."""
         members = checkpoint(self._buckets())
         wanted = checkpoint(members.select("digest").distinct().join(self.sets.select("digest", "first_id"), "digest"))
         if wanted.count() * 64 <= BROADCAST_BYTES:
             wanted = F.broadcast(wanted)
         found = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["first_id"]))
-        hashes = checkpoint(found.select("digest", "text").mapInArrow(_sets, "digest binary, hashes binary").dropDuplicates(["digest"]))
+        hashes = checkpoint(found.select("digest", "text").mapInArrow(_sets, "digest binary, hashes array<bigint>").dropDuplicates(["digest"]))
 
         to_hub = checkpoint(members.filter("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct())
         links = checkpoint(self._linked(to_hub, hashes))
@@ -274,19 +270,22 @@ class NearDuplicates:
             labels = components(reduce(DataFrame.union, [links, more]))
         named = labels.withColumnRenamed("node", "digest").join(self.sets.select("digest", "first_id"), "digest")
         least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-        return named.join(least, "label").select("digest", "component_id")
+        return named.join(least, "label").select("digest", "label", "component_id")
 
-    def result(self) -> DataFrame:
-        """doc_id, n_shingles, component_id and kept of each row."""
+    def rows(self) -> DataFrame:
+        """doc_id, text_key, n_shingles, digest, label and component_id of each row."""
         own = self.sets.select("digest", "first_id")
-        ids = own.join(self.classes(), "digest", "left").select("digest", F.coalesce("component_id", "first_id").alias("component_id"))
+        ids = own.join(self.classes(), "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), F.coalesce("component_id", "first_id").alias("component_id"))
         return (
-            self.sketches.select("doc_id", "n_shingles", "digest")
+            self.sketches.select("doc_id", "text_key", "n_shingles", "digest")
             .join(ids, "digest", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .withColumn("component_id", F.coalesce("component_id", "doc_id"))
         )
 
+    def result(self) -> DataFrame:
+        """doc_id, n_shingles, component_id and kept of each row."""
+        return self.rows().select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
@@ -294,6 +293,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that a document of a smaller id stands for."""
-    ids = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_kept_id"]), "left_semi")
+    """``docs`` with one row of each class, and all rows without words."""
+    rows = checkpoint(NearDuplicates(docs, id_col, text_col, **options).rows())
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    chosen = rows.filter("digest is not null").groupBy("label").agg(F.min(first).alias("x")).select("x.doc_id", "x.text_key")
+    empty = rows.filter("digest is null").select("doc_id", "text_key").distinct()
+    times = rows.filter("digest is not null").groupBy("doc_id", "text_key").agg((F.count(F.lit(1)) > 1).alias("again"))
+    same = chosen["doc_id"].eqNullSafe(times["doc_id"]) & (chosen["text_key"] == times["text_key"])
+    kept = checkpoint(chosen.join(times, same).select(chosen["doc_id"], chosen["text_key"], "again").union(empty.withColumn("again", F.lit(False))))
+    # ids and hashes only, under names that no column of docs has
+    taken = {c.lower() for c in docs.columns}
+    key, text_key, again, turn = (_free(name, taken) for name in ("kept_id", "kept_key", "again", "turn"))
+    kept = kept.toDF(key, text_key, again)
+    on = docs[id_col].eqNullSafe(kept[key]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == kept[text_key])
+    if kept.filter(again).isEmpty():
+        return docs.join(kept, on, "left_semi")
+    # of rows that agree in id and text, the first by the columns that can be sorted
+    sortable = [c.name for c in docs.schema if isinstance(c.dataType, T.AtomicType)]
+    once = docs.join(kept.filter(~F.col(again)), on, "left_semi")
+    several = docs.join(kept.filter(again), on, "left_semi")
+    order = Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col))).orderBy(*[F.col(f"`{c}`") for c in sortable])
+    return once.union(several.withColumn(turn, F.row_number().over(order)).filter(F.col(turn) == 1).drop(turn))
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name = "_" + name
+    return name

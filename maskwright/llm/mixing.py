@@ -21,13 +21,15 @@ has size 0; a source of size 0 has target 0 and is not drawn. Null sources form
 source. Rows that agree in doc_id, source and text are drawn together, as one document
 of their common size; rows that share only a doc_id, null included, are documents of
 their own. Every row has a row in the result. An empty table gives no rows.
-Other columns are kept by ``mix_documents`` under their names. The driver holds one
-row of numbers per source and one number per source and shard.
+``mix_documents`` holds rows as structs and ``shuffled`` returns their columns, so other
+columns keep their names whatever these are. The driver holds one row of numbers per
+source and one number per source and shard.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,8 +126,9 @@ class Mix:
         quotas = sorted((r["ordinal"], r["n"]) for r in drawn.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).collect())
         split = split_quotas(np.array([n for _, n in quotas], np.int64), self.shards, np.random.default_rng(self.seed))
         ends = np.cumsum(split, axis=1).tolist()
-        spark = self.docs.sparkSession
-        table = spark.createDataFrame([(o, e) for (o, _), e in zip(quotas, ends, strict=True)], "ordinal bigint, ends array<bigint>")
+        # an Arrow table is a local relation of the plan; a list would need Python workers
+        columns = [pa.array([o for o, _ in quotas], pa.int64()), pa.array(ends, pa.list_(pa.int64()))]
+        table = self.docs.sparkSession.createDataFrame(pa.table(columns, names=["ordinal", "ends"]))
         # the shard whose share of the permutation holds this turn
         shard = F.size(F.filter("ends", lambda e: e < F.col("turn")))
         return drawn.join(table, "ordinal").select("ordinal", "block", "pass", "room", shard.alias("shard"))
@@ -155,20 +158,22 @@ def mix_digest(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of ``docs``, repeated as drawn, with _shard and _position."""
+    """The mix itself: (row, shard, position), a row of ``docs`` for each draw."""
     return _placed(Mix(docs, id_col, text_col, source_col, **options), docs, id_col, text_col, source_col)
 
 
 def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix with the columns of ``docs``: partition k holds shard k in its order."""
     mix = Mix(docs, id_col, text_col, source_col, **options)
-    dealt = _placed(mix, docs, id_col, text_col, source_col).repartitionById(mix.shards, F.col("_shard"))
-    return dealt.sortWithinPartitions("_position").drop("_shard", "_position")
+    dealt = _placed(mix, docs, id_col, text_col, source_col).repartitionById(mix.shards, F.col("shard"))
+    return dealt.sortWithinPartitions("position").select("row.*")
 
 
 def _placed(mix: Mix, docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    taken = mix.drawn_documents().filter(F.size("draws") > 0).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"), F.col("draws").alias("_draws"))
+    """(row, shard, position): the rows of ``docs`` as structs, so that no name clashes."""
+    taken = mix.drawn_documents().filter(F.size("draws") > 0).select("doc_id", "source", "digest", "draws")
+    held = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("of"), F.xxhash64(F.col(text_col)).alias("text"))
     # one row of taken at most for each row of docs
-    same = docs[id_col].eqNullSafe(taken["_id"]) & docs[source_col].eqNullSafe(taken["_source"]) & (F.xxhash64(docs[text_col]) == taken["_digest"])
-    rows = docs.join(taken, same).withColumn("_draw", F.explode("_draws")).withColumn("_shard", F.col("_draw.shard"))
-    return rows.withColumn("_position", _hash(mix.seed + 3, F.col("_shard"), F.col("_draw.pass"), F.col("_id"), F.col("_digest"))).drop("_id", "_source", "_digest", "_draws", "_draw")
+    same = held["id"].eqNullSafe(taken["doc_id"]) & held["of"].eqNullSafe(taken["source"]) & (held["text"] == taken["digest"])
+    rows = held.join(taken, same).select("row", "id", "text", F.explode("draws").alias("draw"))
+    return rows.select("row", "draw.shard", _hash(mix.seed + 3, F.col("draw.shard"), F.col("draw.pass"), F.col("id"), F.col("text")).alias("position"))

@@ -89,6 +89,32 @@ def test_one_document_of_each_group_stays(awkward):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 7, 8, 9, 10]
 
 
+def test_one_row_of_each_class_stays(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(5, same, "b"), (5, same, "a"), (5, same, "a"), (5, same.replace(" ", "  "), "c"), (5, "another text of eight words that stands alone", "d"), (3, same.upper(), "e"), (None, same, "f")]
+    rows += [(None, "no id but words of its own in here", "g")] * 2 + [(None, None, "h"), (7, "", "i"), (7, "", "i")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kept_id string")
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    expected = [(3, same.upper(), "e"), (5, rows[4][1], "d"), rows[7], (7, "", "i"), (7, "", "i"), (None, None, "h")]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, expected))
+    alone = minhash.drop_near_duplicates(df.filter("doc_id = 5"))
+    assert sorted(r.kept_id for r in alone.collect()) in (["a", "d"], ["c", "d"])
+
+
+def test_a_template_that_many_share(spark):
+    """Families whose members share 60 and 90 of 100 words, below and above the threshold."""
+    rng = random.Random(4)
+
+    def some(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    low, high, rows = some(60), some(92), []
+    for _ in range(60):
+        rows += [(len(rows), " ".join(low + some(40))), (len(rows) + 1, " ".join(high + some(8)))]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
 def test_string_ids(spark):
     df = spark.createDataFrame([("b", "x y z"), ("a", "x y z"), (None, "x y z")], "doc_id string, text string")
     assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {"a"}

@@ -72,12 +72,12 @@ def test_shards_get_even_quotas():
 def test_the_mix_holds_whole_documents(documents):
     digest = {r.doc_id: r for r in mixing.mix_digest(documents).collect()}
     mixed = mixing.mix_documents(documents)
-    assert mixed.columns == [*documents.columns, "_shard", "_position"]
-    counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert mixed.columns == ["row", "shard", "position"] and mixed.select("row.*").columns == documents.columns
+    counts = {r.doc_id: r["count"] for r in mixed.groupBy("row.doc_id").count().collect()}
     for doc, r in digest.items():
         if r.size:
             assert counts.get(doc, 0) * r.size == r.taken
-    shards = [r["count"] for r in mixed.groupBy("_shard").count().collect()]
+    shards = [r["count"] for r in mixed.groupBy("shard").count().collect()]
     assert len(shards) == mixing.SHARDS or sum(shards) < 10 * mixing.SHARDS
 
 
@@ -96,7 +96,7 @@ def test_repeated_and_missing_ids(spark):
     size = {r: len(WORD.findall(r[1])) for r in count}
     result = mixing.mix_digest(df).collect()
     assert Counter((r.doc_id, r.size) for r in result) == Counter((r[0], size[r]) for r in rows)
-    mixed = Counter((r.doc_id, r.text, r.source) for r in mixing.mix_documents(df).collect())
+    mixed = Counter((r.doc_id, r.text, r.source) for r in mixing.mix_documents(df).select("row.*").collect())
     for r, n in mixed.items():
         assert n % count[r] == 0 and n <= 3 * count[r]
     in_result, in_mix = Counter(), Counter()
@@ -134,7 +134,7 @@ def test_partitions_are_the_shards(documents):
     rows = mixing.shuffled(documents).select("doc_id", F.spark_partition_id().alias("k")).collect()
     assert mixing.shuffled(documents).rdd.getNumPartitions() == mixing.SHARDS
     assert Counter((r.doc_id, r.k) for r in rows) == named
-    ordered = [r.doc_id for r in mixing.mix_documents(documents).orderBy("_shard", "_position").collect()]
+    ordered = [r.doc_id for r in mixing.mix_documents(documents).orderBy("shard", "position").select("row.*").collect()]
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.k)] == ordered
     assert mixing.shuffled(documents).columns == documents.columns
 
@@ -145,3 +145,16 @@ def test_the_stage_writes_shards(spark, documents):
     named = Counter((r.doc_id, s) for r in mixing.mix_digest(documents).collect() for s in r.shards)
     stage = corpus_pipeline.source_mix(spark, documents, "").select("doc_id", F.spark_partition_id().alias("k")).collect()
     assert Counter((r.doc_id, r.k) for r in stage) == named
+
+
+def test_clashing_columns_keep_their_values(spark):
+    rows = [(k, "w " * (k % 5 + 1), "s", k, -k, "x", k * 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, shard int, position int, `row` string, _draw int")
+    mixed = mixing.shuffled(df)
+    assert mixed.columns == df.columns
+    assert {tuple(r) for r in mixed.collect()} == set(rows)
+
+
+def test_the_table_of_shards_needs_no_python(documents):
+    draws = mixing.Mix(documents).draws()
+    assert "LocalRelation" in draws._jdf.queryExecution().optimizedPlan().toString()
