@@ -1,15 +1,23 @@
 """Hierarchical best-fit packing of tokenized documents into fixed sequences.
 
 Each partition cuts its documents' ids into pieces of at most ``capacity`` and packs
-them best-fit, longest first. Sequences that are nearly full are final. Of the
-others the emptiest go up a tree of fan-in 8, where they are items of further
-best-fit rounds; best-fit leaves at most one sequence of a node half empty or more,
-so little is gained from sending more than ``promoted`` of them. Every round works
-on bounded groups, and no piece is ever dropped.
+them best-fit, longest first. Sequences that are nearly full are final. All others go
+up a tree as items of further best-fit rounds, in which the groups of a level are an
+eighth of those before, or as many more as keep a group below ``window`` pieces. Where
+fewer sequences come out if the items are opened, a group packs their pieces instead.
+The rounds end with a single group, or where as many groups as before no longer merge
+a tenth of their sequences.
+
+A level's sequences are numbered by their length and dealt to the groups in turn, so
+each group gets lengths in the proportions of the whole: where every partition holds
+documents of one length, as after a sort, those still meet. Groups are bounded and no
+piece is ever dropped.
 
 A document is its ids and then ``end_id``. Null and empty texts are ``end_id``
-alone. Rows of the same doc_id are packed as separate documents. Columns other than
-the id and the text are not read. An empty table gives no rows.
+alone. Rows of the same doc_id are packed as separate documents. Among items of one
+length the first goes first, by partition and number; sequences of equal room are
+taken last in first out. Columns other than the id and the text are not read. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,10 +40,13 @@ from maskwright.llm.tokens import text_ids
 
 CAPACITY = 2048
 FAN_IN = 8
-PROMOTED = 32
 NEARLY_FULL = 0.98
 #: Pieces that a task holds at once.
 WINDOW = 200_000
+#: A round at as many groups must merge this share of its sequences to be followed by another.
+WORTH_WHILE = 0.1
+_NUMBER_BITS = 26
+TOKENIZER = "word_bpe_49k.json"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -66,11 +78,22 @@ def _bin_type(id_type: T.DataType) -> str:
     return f"node bigint, number bigint, size bigint, final boolean, pieces array<{piece}>"
 
 
-def _closed(sizes: list[int], capacity: int) -> list[bool]:
-    """Which bins are final: the nearly full, and all but the emptiest of the rest."""
-    under = sorted((size, i) for i, size in enumerate(sizes) if size < NEARLY_FULL * capacity)
-    promoted = {i for _, i in under[:PROMOTED]}
-    return [i not in promoted for i in range(len(sizes))]
+def _numbered(bins: list[list[int]], sizes: list[int]) -> tuple[list[list[int]], list[int]]:
+    """Bins and their sizes, longest first."""
+    total = [sum(sizes[i] for i in own) for own in bins]
+    order = sorted(range(len(bins)), key=total.__getitem__, reverse=True)
+    return [bins[k] for k in order], [total[k] for k in order]
+
+
+def _bins(node: int, first: int, sizes: list[int], capacity: int, pieces: pa.Array) -> list[pa.Array]:
+    """The columns of new sequences, numbered from ``first``."""
+    if first + len(sizes) > 1 << _NUMBER_BITS:
+        raise ValueError("a task made more sequences than an id can number")
+    final = [size >= NEARLY_FULL * capacity for size in sizes]
+    return [pa.array([node] * len(sizes), pa.int64()), pa.array(range(first, first + len(sizes)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(final, pa.bool_()), pieces]
+
+
+_COLUMNS = ["node", "number", "size", "final", "pieces"]
 
 
 def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
@@ -81,19 +104,18 @@ def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
         yield piece, first // 4, len(part) // 4, zlib.crc32(part)
 
 
-def _leaf(path: str, capacity: int, end_id: int):
+def _leaf(path: str | None, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = text_ids(path).encode
+        encode = text_ids(path or public_tokenizers.path(TOKENIZER)).encode
         node, made = TaskContext.get().partitionId(), 0
         ids, held, lengths = [], [], []
         id_type = None
 
         def packed() -> pa.RecordBatch:
             nonlocal made
-            bins = best_fit(lengths, capacity)
-            sizes = [sum(lengths[i] for i in own) for own in bins]
+            bins, sizes = _numbered(best_fit(lengths, capacity), lengths)
             order = [i for own in bins for i in own]
             flat = pa.StructArray.from_arrays(
                 [pa.array([ids[i] for i in order], id_type), pa.array([held[i][0] for i in order], pa.int32())] + [pa.array([held[i][k] for i in order], pa.int64()) for k in (1, 2, 3)],
@@ -101,10 +123,7 @@ def _leaf(path: str, capacity: int, end_id: int):
             )
             edges = pa.array(np.cumsum([0, *map(len, bins)]), pa.int32())
             first, made = made, made + len(bins)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([node] * len(bins), pa.int64()), pa.array(range(first, made), pa.int64()), pa.array(sizes, pa.int64()), pa.array(_closed(sizes, capacity)), pa.ListArray.from_arrays(edges, flat)],
-                names=["node", "number", "size", "final", "pieces"],
-            )
+            return pa.RecordBatch.from_arrays(_bins(node, first, sizes, capacity, pa.ListArray.from_arrays(edges, flat)), names=_COLUMNS)
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -124,40 +143,48 @@ def _leaf(path: str, capacity: int, end_id: int):
 
 
 def _merge(capacity: int):
-    def merge(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        sizes = table["size"].to_pylist()
-        bins = best_fit(sizes, capacity)
-        merged = [sum(sizes[i] for i in own) for own in bins]
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending"), ("node", "ascending"), ("number", "ascending")]).combine_chunks()
         lists = table["pieces"].combine_chunks()
-        order = pa.array([i for own in bins for i in own], pa.int64())
-        counts = [sum(len(lists[i]) for i in own) for own in bins]
-        flat = lists.take(order).flatten()
-        node = table["node"][0].as_py() // FAN_IN
-        return pa.table(
-            [pa.array([node] * len(bins), pa.int64()), pa.array(range(len(bins)), pa.int64()), pa.array(merged, pa.int64()), pa.array(_closed(merged, capacity)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), flat)],
-            names=["node", "number", "size", "final", "pieces"],
-        )
+        held = pa.compute.list_value_length(lists).to_pylist()
+        ends = np.cumsum([0, *held]).tolist()
+        own_sizes = table["size"].to_pylist()
+        bins = best_fit(own_sizes, capacity)
+        flat = lists.flatten()
+        lengths = flat.field("length").to_pylist()
+        opened = best_fit(lengths, capacity) if len(bins) * capacity > sum(lengths) + capacity else bins
+        if len(opened) < len(bins):
+            bins, sizes = _numbered(opened, lengths)
+        else:
+            bins, sizes = _numbered(bins, own_sizes)
+            bins = [[k for i in own for k in range(ends[i], ends[i + 1])] for own in bins]
+        order = pa.array([k for own in bins for k in own], pa.int64())
+        pieces = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bins)]), pa.int32()), flat.take(order))
+        return pa.table(_bins(key[0].as_py(), 0, sizes, capacity, pieces), names=_COLUMNS)
 
     return merge
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     docs = documents_of(docs, id_col, text_col)
     schema = _bin_type(docs.schema["doc_id"].dataType)
     level = checkpoint(docs.mapInArrow(_leaf(tokenizer, capacity, end_id), schema))
-    nodes = (level.agg(F.max("node")).first()[0] or 0) + 1
-    done, depth = [], 0
-    while nodes > 1:
+    done, depth, last_groups, last_open = [], 0, 0, 0
+    while True:
+        top, made = level.agg(F.max("node"), F.count(F.lit(1))).first()
+        still, pieces = level.filter("not final").agg(F.count(F.lit(1)), F.sum(F.size("pieces"))).first()
+        groups = max(-(-((top or 0) + 1) // FAN_IN), -(-(pieces or 0) // window))
+        idle = groups == last_groups and made > (1 - WORTH_WHILE) * last_open
+        if still < 2 or last_groups == 1 or idle:
+            done.append(level.withColumn("depth", F.lit(depth)))
+            break
         done.append(level.filter("final").withColumn("depth", F.lit(depth)))
-        parent = F.floor(F.col("node") / FAN_IN).alias("parent")
-        level = checkpoint(level.filter("not final").groupBy(parent).applyInArrow(_merge(capacity), schema))
-        nodes, depth = -(-nodes // FAN_IN), depth + 1
-    done.append(level.withColumn("depth", F.lit(depth)))
+        group = F.pmod(F.col("node") + F.col("number"), F.lit(groups)).alias("group")
+        level = checkpoint(level.filter("not final").groupBy(group).applyInArrow(_merge(capacity), schema))
+        last_groups, last_open, depth = groups, still, depth + 1
     bins = reduce(DataFrame.union, done)
-    sequence = F.shiftleft(F.col("depth").cast("long"), 58).bitwiseOR(F.shiftleft("node", 26)).bitwiseOR(F.col("number"))
+    sequence = F.shiftleft(F.col("depth").cast("long"), 58).bitwiseOR(F.shiftleft("node", _NUMBER_BITS)).bitwiseOR(F.col("number"))
     laid = F.expr(
         "aggregate(pieces, struct(0L as at, cast(array() as array<bigint>) as offsets),"
         " (s, p) -> struct(s.at + p.length as at, array_append(s.offsets, s.at) as offsets), s -> s.offsets)"
@@ -168,14 +195,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def packed_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """The sequences themselves: sequence_id, ids (array of int). doc_id must be unique."""
-    path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    plan = pack_documents(docs, id_col, text_col, path, capacity, end_id)
+    plan = pack_documents(docs, id_col, text_col, tokenizer, capacity, end_id)
     source = documents_of(docs, id_col, text_col)
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, ids array<int>"
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width = text_ids(path).encode, 4 * capacity
+        encode, width = text_ids(tokenizer or public_tokenizers.path(TOKENIZER)).encode, 4 * capacity
         for batch in batches:
             doc_ids = batch.column(0)
             for row, tokens in encode(batch.column(1)):

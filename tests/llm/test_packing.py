@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -49,6 +50,40 @@ def test_many_partitions_merge_up_the_tree(spark):
     assert made <= least + 1
 
 
+def of_tokens(spark, lengths, partitions):
+    """Documents of so many tokens, each run of equal lengths in partitions of its own."""
+    rows = [(k, "a " * (n - 1)) for k, n in enumerate(lengths)]
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, partitions), "doc_id bigint, text string")
+
+
+def test_partitions_of_one_length_each_still_meet(spark):
+    assert check(of_tokens(spark, [1100] * 200 + [940] * 200, 2))[0] == 200
+    assert check(of_tokens(spark, [35] * 300 + [29] * 300, 2), 64)[0] == 300
+    assert check(of_tokens(spark, [35] * 300 + [29] * 300, 20), 64)[0] == 300
+
+
+def test_what_cannot_merge_ends_the_rounds(spark):
+    assert check(of_tokens(spark, [33] * 120, 40), 64)[0] == 120
+    assert check(of_tokens(spark, [64] * 40, 4), 64)[0] == 40
+
+
+def test_groups_stay_small_at_any_number_of_items(spark):
+    df = of_tokens(spark, [35] * 400 + [29] * 400, 16)
+    rows = packing.pack_documents(df, capacity=64, window=100).collect()
+    loads = Counter()
+    for r in rows:
+        loads[r.sequence_id] += r.length
+    assert len(rows) == 800 and max(loads.values()) <= 64 and len(loads) <= 400 + 8
+
+
+def test_repeated_ids_and_ties(spark):
+    df = spark.createDataFrame([(1, "a b c")] * 5 + [(None, "d")] * 3 + [(1, "e f")], "doc_id bigint, text string")
+    rows = packing.pack_documents(df, capacity=8).collect()
+    assert Counter((r.doc_id, r.length) for r in rows) == Counter({(1, 4): 5, (None, 2): 3, (1, 3): 1})
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 9
+    assert [tuple(r) for r in rows] == [tuple(r) for r in packing.pack_documents(df, capacity=8).collect()]
+
+
 def test_empty_table(awkward):
     assert packing.pack_documents(awkward.limit(0)).count() == 0
 
