@@ -1,9 +1,8 @@
-"""Removal of repeated 100-byte strings by ranking positions at growing lengths.
+"""Removal of repeated 100-byte strings by prefix doubling over position ranks.
 
-A byte goes if a 100-byte string over it also starts earlier, in a smaller doc_id or
-at a smaller start of the same document. Classes of equal strings come from Spark
-sorts of position ranks, first at 48 bytes, then of rank pairs of 50 and 50 bytes, and
-positions leave as soon as their rank is unique:
+A byte goes if a 100-byte string over it also starts earlier, in an earlier document or
+at a smaller start of the same one. Positions are sorted by the ranks of what they
+start with at growing lengths and leave as soon as their rank is unique:
 
 1. Of the 53 places where a 48-byte string can start within a 100-byte string, the one
    whose string has the least hash is its anchor. Equal 100-byte strings have equal
@@ -14,17 +13,26 @@ positions leave as soon as their rank is unique:
    among its own texts are not sent to the sort by anchor, so that a string which
    many texts share makes no large group. What is left are runs that differ from others
    in part.
-2. For the starts of those, pairs (rank of 50 bytes, rank of the next 50) are sorted;
-   equal pairs are equal 100-byte strings, and all but the first of a class repeat.
+2. All starts of those are doubled. Spark sorts them by what they start with; a pass
+   gives dense ranks at 25 bytes, drops the unique ones, pairs the rank with that of the
+   25 bytes at offset 25, drops the unique ones, and pairs the rank at 50 with that of
+   the 50 bytes at offset 50. Equal ranks at 100 are equal strings, and all but the
+   first of a class repeat.
 3. Repeated starts become maximal removed runs of bytes in each document.
 
-Ranks are 64-bit fingerprints of the bytes, computed where the text is read: they take
-the place of dense ranks and of the self-join that would fetch the second of a pair.
-
-Null and empty texts keep all of nothing. doc_id must be an integer; rows without one
-match nothing, and rows that repeat one are the same document. Texts under 100 bytes
-are kept whole. Columns other than the id and the text are not read. An empty table
-gives no rows. Rows move in sorts alone; a document's runs are the largest group.
+The second of a pair is a fingerprint of the bytes, computed where the text is read: a
+self-join that fetches the other position's rank would move every position at every
+offset. Equal strings lie in one partition, so a rank that is unique within it has no
+equal anywhere, and one sort serves all lengths. Two different 100-byte strings are taken for equal only where 128 bits of
+fingerprints agree (64 for whole runs); bytes are not compared again.
+
+Null and empty texts keep all of nothing. Documents are in order of doc_id, those
+without one last; among rows that share an id, of texts' 64-bit hashes, and rows that
+agree in both are one document, each with its result. Ids may be of any type that
+sorts. Texts under 100 bytes are kept whole. Columns other than the id and the text are
+not read. An empty table gives no rows. Texts of any length are read in runs; a text
+alone is the least unit of a task. Rows move in sorts alone; a document's runs are the
+largest group.
 """
 
 from __future__ import annotations
@@ -37,6 +45,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.llm.common import checkpoint, documents_of, text_slices
 from maskwright.llm.shingles import mixed, prefix_sums
@@ -44,7 +53,8 @@ from maskwright.llm.shingles import mixed, prefix_sums
 LENGTH = 100
 ANCHOR = 48
 PLACES = LENGTH - ANCHOR + 1
-HALF = LENGTH // 2
+#: Offsets at which ranks are paired; each doubles the length that is ranked.
+OFFSETS = (25, 50)
 #: Most bytes of runs that are broadcast to the texts; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 _N_BITS = 7  # a run has at most PLACES starts
@@ -155,7 +165,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rank pair, doc, start) of each start of the given runs of each text."""
+    """(head, tail, doc, start) of each start of the given runs of each text: 32 bits for
+    each of the first two 25 bytes, 64 for the 50 after them."""
     for batch in batches:
         ids, runs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
         for first, end, data, offsets in text_slices(batch.column(1)):
@@ -169,21 +180,42 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(row, n)
             for a in range(0, len(start), 1 << 18):
                 s, r = start[a : a + (1 << 18)], row[a : a + (1 << 18)]
-                pair = mixed(ranks(s, s + HALF) * np.uint64(0x9E3779B97F4A7C15) + ranks(s + HALF, s + LENGTH))
-                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(ids[first + r]), pa.array(s - offsets[r])], names=["pair", "doc", "start"])
+                near, far = OFFSETS
+                head = ranks(s, s + near) >> np.uint64(32) << np.uint64(32) | ranks(s + near, s + far) >> np.uint64(32)
+                tail = ranks(s + far, s + LENGTH)
+                yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(tail.view(np.int64)), pa.array(ids[first + r]), pa.array(s - offsets[r])], names=["head", "tail", "doc", "start"])
+
+
+def reranked(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of sorted keys that are not unique, and their dense ranks by all keys.
+
+    Each key refines the ranks of those before it, and rows whose rank is unique then
+    leave. The first and the last rank may go on beyond the rows given and stay.
+    """
+    alive, rank = np.arange(len(keys[0])), np.zeros(len(keys[0]), np.int64)
+    for key in keys:
+        own = key[alive]
+        fresh = np.ones(len(alive), bool)
+        fresh[1:] = (rank[1:] != rank[:-1]) | (own[1:] != own[:-1])
+        rank = np.cumsum(fresh) - 1
+        stay = (np.bincount(rank)[rank] > 1) | (rank == 0) | (rank == rank[-1])
+        alive, rank = alive[stay], rank[stay]
+    return alive, rank
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted pairs: all but the first of each class."""
-    last = (None,) * 3
+    """Of sorted starts: all but the first of each class of equal 100 bytes."""
+    last = (None,) * 4
     for batch in batches:
         if not len(batch):
             continue
-        pair, doc, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        same = _repeated(pair, last[0])
-        again = same & _repeated(doc, last[1]) & _repeated(start, last[2])
-        last = pair[-1], doc[-1], start[-1]
-        kept = same & ~again
+        head, tail, doc, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        alive, rank = reranked([head >> 32, head, tail])
+        same = _repeated(rank, None)
+        same[0] = last[0] is not None and (head[0], tail[0]) == last[:2]
+        again = same & _repeated(doc[alive], last[2]) & _repeated(start[alive], last[3])
+        last = head[-1], tail[-1], doc[-1], start[-1]
+        kept = alive[same & ~again]
         yield pa.RecordBatch.from_arrays([pa.array(doc[kept]), pa.array(start[kept] << _N_BITS | 1)], names=["doc", "run"])
 
 
@@ -228,10 +260,27 @@ def _sized(df: DataFrame, arrays: list[str]) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, starts, ends): the byte runs to remove from each document that has any."""
-    docs = documents_of(docs, id_col, text_col)
-    texts = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select(F.col("doc_id").cast("long").alias("doc"), "text")
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with doc, a long in the documents' order.
+
+    Integer ids that are given and unique are that number. Others are numbered by a sort
+    of the ids and the texts' hashes.
+    """
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    least, most, unnamed = counts.agg(F.count(F.lit(1)), F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) and not unnamed and (not least or most == 1):
+        return docs.withColumn("doc", F.col("doc_id").cast("long"))
+    keyed = docs.withColumn("hash", F.xxhash64("text"))
+    order = keyed.select(F.col("doc_id").alias("id"), F.col("hash").alias("own")).distinct().orderBy(F.col("id").asc_nulls_last(), "own")
+    order = checkpoint(order.withColumn("doc", F.monotonically_increasing_id()))
+    same = keyed["doc_id"].eqNullSafe(order["id"]) & (keyed["hash"] == order["own"])
+    return checkpoint(keyed.join(order, same).select("doc_id", "text", "doc"))
+
+
+def removed_runs(table: DataFrame) -> DataFrame:
+    """(doc, starts, ends): the byte runs to remove from each document of a
+    ``numbered`` table that has any."""
+    texts = table.filter(F.octet_length("text") >= LENGTH).select("doc", "text")
     ranked = texts.mapInArrow(_runs, "key bigint, rest bigint, doc bigint, s0 bigint, whole bigint")
     # runs that are known to repeat go apart by their document, not with their anchor
     place = F.when(F.col("whole").isNotNull(), F.xxhash64("doc")).otherwise(F.shiftright("key", _RANK_BITS))
@@ -241,8 +290,8 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     parts = by_doc.select("doc", "part").filter(F.size("part") > 0)
     open_texts = texts.join(_sized(parts, ["part"]), "doc").select("doc", "text", "part")
-    pairs = open_texts.mapInArrow(_pairs, "pair bigint, doc bigint, start bigint")
-    later = pairs.repartition("pair").sortWithinPartitions("pair", "doc", "start").mapInArrow(_later, "doc bigint, run bigint")
+    pairs = open_texts.mapInArrow(_pairs, "head bigint, tail bigint, doc bigint, start bigint")
+    later = pairs.repartition("head").sortWithinPartitions("head", "tail", "doc", "start").mapInArrow(_later, "doc bigint, run bigint")
     starts = later.groupBy("doc").agg(F.collect_list("run").alias("runs"))
     both = by_doc.select("doc", "whole").join(starts, "doc", "full")
     none = F.expr("cast(array() as array<bigint>)")
@@ -252,8 +301,8 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    runs = checkpoint(removed_runs(docs, id_col, text_col))
-    table = documents_of(docs, id_col, text_col)
-    joined = table.join(_sized(runs, ["starts", "ends"]), table["doc_id"] == runs["doc"], "left").select("doc_id", "text", "starts", "ends")
+    table = numbered(documents_of(docs, id_col, text_col))
+    runs = checkpoint(removed_runs(table))
+    joined = table.join(_sized(runs, ["starts", "ends"]), "doc", "left").select("doc_id", "text", "starts", "ends")
     id_type = table.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_digest, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
