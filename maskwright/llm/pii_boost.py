@@ -8,12 +8,17 @@ stays where its calibrated probability reaches its kind's threshold.
 
 The trees are trained here, on ``TRAINING_ROWS`` synthetic labelled spans that
 ``labelled_spans`` makes from a fixed seed, and then written as nested CASE
-expressions; Platt scaling on a held-out third calibrates them.
+expressions; Platt scaling on a held-out third calibrates them. A kind's threshold is
+the least at which ``PRECISION`` of what it selects is right among
+``THRESHOLD_ROWS`` spans of another generator, ``written_spans``, whose sentences and
+formats are others.
 
 Offsets are code points, ends exclusive. A null text is empty and has no spans.
 Repeated and overlapping spans of different kinds all stay; redaction takes their
-union. Rows are independent, so ties and repeated rows need no rule. Columns other
-than the id and the text are not read; ``redact`` returns all columns.
+union. Rows are independent, so ties and repeated rows need no rule: each has its own
+result. Work grows with a text's length and its number of spans, times the logarithm of
+that number. Columns other than the id and the text are not read; ``redact`` returns
+all columns, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import documents_of
+from maskwright.llm.common import before, documents_of, let, places
 
 #: Kinds in the order that ties at one start are listed in.
 BASE_PATTERNS = {
@@ -57,12 +62,21 @@ RUN_PATTERNS = {
 BASE_SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 WIDE_SIGNS = {"email": r"(?:\(at\)|\[at\]| AT | at )", "card": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "phone": r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "secret": r"[A-Za-z0-9_-]{20}"}
 ORDER = ("email", "ip", "card", "phone", "ssn", "secret")
-CONTEXT_CHARS = 24
-FEATURES = ("length", "digits", "letters", "upper", "separators", "groups", "changes", "cue", "quoted", "glued", "checksum")
+CONTEXT_CHARS, AFTER_CHARS = 24, 2
+FEATURES = ("length", "digits", "letters", "upper", "separators", "groups", "changes", "cue", "own_cue", "near_digits", "quoted", "glued", "continued", "checksum")
 CUES = r"(?i)(?:phone|tel|call|fax|mobile|contact|mail|write|reach|ssn|social|token|secret|key|password|passwd|auth|bearer|card|account)\W{0,4}$|[=:]\s*[\"']?$"
+#: Words shortly before a span that speak of its own kind.
+OWN_CUES = {
+    "email": r"(?i)\b(?:e-?mail|mail|write|reach|contact|address)\b",
+    "card": r"(?i)\b(?:card|visa|mastercard|account|paid|charge[ds]?|credit)\b",
+    "phone": r"(?i)\b(?:phone|tel|call|fax|mobile|cell|text|dial|ring)\b",
+    "ssn": r"(?i)\b(?:ssn|social|security)\b",
+    "secret": r"(?i)(?:token|secret|key|password|passwd|auth|bearer|credential)",
+}
 TRAINING_ROWS = 3000
+THRESHOLD_ROWS = 3000
+PRECISION = 0.98
 TREES, DEPTH, RATE = 40, 3, 0.2
-THRESHOLDS = {"email": 0.5, "card": 0.5, "phone": 0.5, "ssn": 0.5, "secret": 0.5}
 SEED = 5
 
 
@@ -74,7 +88,7 @@ def luhn(digits: str) -> bool:
 # features, once for training and once in SQL ----------------------------------
 
 
-def features(span: str, before: str, after: str) -> list[float]:
+def features(kind: str, span: str, before: str, after: str) -> list[float]:
     kinds = "".join("d" if c.isascii() and c.isdigit() else "l" if c.isascii() and c.isalpha() else "s" for c in span)
     return [
         float(len(span)),
@@ -85,13 +99,16 @@ def features(span: str, before: str, after: str) -> list[float]:
         float(len(re.findall("[0-9]+", span))),
         float(len(re.findall("[0-9][A-Za-z]|[A-Za-z][0-9]", span))),
         float(re.search(CUES, before) is not None),
+        float(re.search(OWN_CUES[kind], before) is not None),
+        float(len(re.findall("[0-9]", before))),
         float(before[-1:] in ('"', "'") and after[:1] in ('"', "'") and before != "" and after != ""),
         float(re.match("[A-Za-z0-9]", after) is not None or re.search("[A-Za-z0-9]$", before) is not None),
+        float(re.match("[.-]?[0-9]", after) is not None or re.search("[0-9][.-]?$", before) is not None),
         float(luhn(re.sub("[^0-9]", "", span))),
     ]
 
 
-def feature_columns(span: Column, before: Column, after: Column) -> dict[str, Column]:
+def feature_columns(kind: str, span: Column, before: Column, after: Column) -> dict[str, Column]:
     def count(pattern: str) -> Column:
         return F.regexp_count(span, F.lit(pattern))
 
@@ -104,8 +121,11 @@ def feature_columns(span: Column, before: Column, after: Column) -> dict[str, Co
         "groups": count("[0-9]+"),
         "changes": count("[0-9][A-Za-z]|[A-Za-z][0-9]"),
         "cue": before.rlike(CUES).cast("int"),
+        "own_cue": before.rlike(OWN_CUES[kind]).cast("int"),
+        "near_digits": F.regexp_count(before, F.lit("[0-9]")),
         "quoted": (before.rlike("[\"']$") & after.rlike("^[\"']")).cast("int"),
         "glued": (after.rlike("^[A-Za-z0-9]") | before.rlike("[A-Za-z0-9]$")).cast("int"),
+        "continued": (after.rlike("^[.-]?[0-9]") | before.rlike("[0-9][.-]?$")).cast("int"),
         "checksum": F.call_function("luhn_check", _digits(span)).cast("int"),
     }
 
@@ -148,11 +168,13 @@ def labelled_spans(rows: int = TRAINING_ROWS, seed: int = SEED) -> tuple[list[li
             if good:
                 before += rng.choice(("call ", "phone: ", "tel. ", "fax ", "")) if span[0] == "(" or sep == "-" else rng.choice(("call ", "tel. "))
             else:
-                before, after = rng.choice(((before + digits(3) + rng.choice("-. "), after), (before, rng.choice("-. ") + digits(4)), (before + digits(1), after)))
-                before = before if before[-1].isdigit() else before[:-1] + digits(1)
+                before += rng.choice(("", "", "call ", "tel. "))
+                before, after = rng.choice(((before + digits(3) + rng.choice("-."), after), (before, rng.choice("-.") + digits(4)), (before + digits(1), after), (before, digits(2))))
         elif kind == "ssn":
             span = f"{digits(3)}-{digits(2)}-{digits(4)}"
-            before, after = (before + rng.choice(("ssn ", "social ", "SSN: ", "")), after) if good else (before + digits(2), digits(2) + after)
+            before += rng.choice(("ssn ", "social ", "SSN: ", ""))
+            if not good:
+                before, after = rng.choice(((before + digits(2), after), (before, digits(2) + after), (before + digits(3) + "-", after), (before, "-" + digits(2) + after)))
         elif good:
             alphabet = rng.choice(("0123456789abcdef", letters + letters.upper() + "0123456789"))
             span = "".join(rng.choice(alphabet) for _ in range(rng.randint(24, 48))) + digits(2)
@@ -160,7 +182,70 @@ def labelled_spans(rows: int = TRAINING_ROWS, seed: int = SEED) -> tuple[list[li
             after = before[-1] + after if before[-1] in "\"'" else after
         else:
             span = rng.choice((word(20, 30), "_" * rng.randint(20, 40), "-" * rng.randint(20, 60), digits(24), word(8, 12) + "-" + word(8, 12) + "-" + word(4, 9), word(18, 24) + digits(2)))
-        x.append(features(span, before[-CONTEXT_CHARS:], after[:1]))
+        x.append(features(kind, span, before[-CONTEXT_CHARS:], after[:AFTER_CHARS]))
+        y.append(int(good))
+        kinds.append(kind)
+    return x, y, kinds
+
+
+def written_spans(rows: int = THRESHOLD_ROWS, seed: int = SEED + 1) -> tuple[list[list[float]], list[int], list[str]]:
+    """The same of sentences, records and log lines, for thresholds."""
+    rng = random.Random(seed)
+    names = ("ada", "boris", "chen.li", "d_okafor", "emma-lund", "farid", "greta99")
+    hosts = ("harbor", "north-lake", "papermill", "quartz", "tidewater")
+
+    def digits(*groups: int) -> list[str]:
+        return ["".join(rng.choice("0123456789") for _ in range(n)) for n in groups]
+
+    def card(valid: bool) -> str:
+        number = rng.choice("3456") + digits(14)[0]
+        last = next(c for c in "0123456789" if luhn(number + c))
+        return number + (last if valid else rng.choice([c for c in "0123456789" if c != last]))
+
+    def email(good: bool) -> tuple[str, str, str]:
+        if good:
+            at, dot = rng.choice(((" at ", " dot "), (" (at) ", "."), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" AT ", " DOT ")))
+            return rng.choice(("Please contact ", "send it to ", "Author: ", "Questions? Mail ", "")), f"{rng.choice(names)}{at}{rng.choice(hosts)}{dot}{rng.choice(('com', 'net', 'edu', 'io'))}", rng.choice((".", ", thanks", "\n", ""))
+        return rng.choice(("We met ", "The sale ended ", "they stopped ", "She works ")), f"{rng.choice(('late', 'dinner', 'home', 'prices', 'desk'))} at {rng.choice(('noon', 'dawn', 'work', 'school'))}.{rng.choice(('The', 'It', 'We', 'Then', 'But'))}", " rest"
+
+    def cards(good: bool) -> tuple[str, str, str]:
+        own = card(good)
+        own = rng.choice(("", " ", "-")).join(own[k : k + 4] for k in range(0, 16, 4))
+        if good:
+            return rng.choice(("Charged to ", "my visa ", '"card": "', "payment by credit card ", "no. ")), own, rng.choice((" today", '"', ".", ", exp 09/27"))
+        return rng.choice(("order ", "tracking ", "ref ", "serial ", "batch ")), own, rng.choice((" shipped", ".", ";"))
+
+    def phone(good: bool) -> tuple[str, str, str]:
+        a, b, c = digits(3, 3, 4)
+        if good:
+            return rng.choice(("Ring me on ", "phone = ", "Tel: ", "cell ", "or dial ", "Contact: ")), rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}")), rng.choice((".", " after six", ",", "\n"))
+        return rng.choice((f"part {digits(3)[0]}-", f"id {digits(2)[0]}", "range " + digits(4)[0] + ".")), rng.choice((f"{a}-{b}-{c}", f"{a}.{b}.{c}")), rng.choice((digits(2)[0], "-" + digits(3)[0], "." + digits(2)[0]))
+
+    def ssn(good: bool) -> tuple[str, str, str]:
+        own = "-".join(digits(3, 2, 4))
+        if good:
+            return rng.choice(("Social security number ", "SSN ", "ssn=", "SSN: ", "his social is ")), own, rng.choice((".", " on file", ",", "\n"))
+        return rng.choice(("part " + digits(2)[0], "isbn 978-" + digits(1)[0], "lot " + digits(4)[0])), own, rng.choice((digits(1)[0], "-" + digits(1)[0], digits(3)[0]))
+
+    def secret(good: bool) -> tuple[str, str, str]:
+        if good:
+            alphabet = rng.choice(("abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789_-"))
+            own = digits(1)[0] + "".join(rng.choice(alphabet) for _ in range(rng.choice((31, 39, 43)))) + digits(1)[0]
+            before, after = rng.choice((("api_key = '", "'"), ("export AUTH_TOKEN=", "\n"), ('"password": "', '"'), ("Authorization: Bearer ", "\n"), ("secret key ", " expired")))
+            return before, own, after
+        own = rng.choice(("_".join(rng.choices(("report", "summary", "final", "draft", "team", "north"), k=5)), "-".join(rng.choices(("state", "of", "the", "art", "kind", "once"), k=7)), "=" * 0 + "_" * rng.randint(20, 70), "x" * rng.randint(20, 50), "counter" * 4, digits(26)[0]))
+        return rng.choice(("see ", "the ", "file ", "a ", "")), own.ljust(20, own[-1]), rng.choice((" end", ".", "\n"))
+
+    makers = {"email": email, "card": cards, "phone": phone, "ssn": ssn, "secret": secret}
+    x, y, kinds = [], [], []
+    for k in range(rows):
+        kind, good = tuple(makers)[k % len(makers)], rng.random() < 0.5
+        before, span, after = makers[kind](good)
+        if rng.random() < 0.15:
+            # no cue at all, or that of the other label
+            before = "" if good else makers[kind](True)[0]
+        before = " ".join(rng.choices(("notes", "from", "our", "meeting", "with", "them"), k=5)) + rng.choice((" ", ". ", "\n")) + before
+        x.append(features(kind, span, before[-CONTEXT_CHARS:], after[:AFTER_CHARS]))
         y.append(int(good))
         kinds.append(kind)
     return x, y, kinds
@@ -239,6 +324,21 @@ def model(kind: str, rows: int = TRAINING_ROWS, seed: int = SEED) -> Boosted:
     return Boosted(tuple(trees), round(float(scale), 6), round(float(shift), 6))
 
 
+@cache
+def threshold(kind: str) -> float:
+    """The least probability at which ``PRECISION`` of the selected spans is right."""
+    x, y, kinds = written_spans()
+    scored = sorted(((float(model(kind).probability(row)), label) for row, label, k in zip(x, y, kinds, strict=True) if k == kind), reverse=True)
+    best, right = 1 - 1e-6, 0
+    for n, (p, label) in enumerate(scored, 1):
+        right += label
+        below = scored[n][0] if n < len(scored) else 0.0
+        if below < p and right >= PRECISION * n:
+            # between what is selected and the next
+            best = (p + below) / 2
+    return round(best, 6)
+
+
 def _scaled(node: Node, rate: float) -> Node:
     if node.left is None:
         return Node(value=round(node.value * rate, 6))
@@ -259,27 +359,36 @@ def log_odds(boosted: Boosted, of: dict[str, Column]) -> Column:
 # spans ------------------------------------------------------------------------
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+def matches(text: Column, pattern: str, context: bool = False) -> Column:
+    """Leftmost non-overlapping matches as array<struct<start, end, span, before, after>>.
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, end, span>>.
-
-    The texts between matches, from a split by the same pattern, give the offsets.
+    The texts between matches, from a split by the same pattern, give the offsets, and
+    with ``context`` the characters before and after; without it these are null. A
+    match of the wide patterns has a third of ``CONTEXT_CHARS`` or more.
     """
-    empty = F.expr("cast(array() as array<struct<start: int, end: int, span: string>>)")
 
     def placed(found: Column, gaps: Column) -> Column:
-        def step(state: Column, span: Column) -> Column:
-            k = F.size(state["spans"])
-            start = state["at"] + F.length(F.get(gaps, k))
-            end = start + F.length(span)
-            return F.struct(end.alias("at"), F.array_append(state["spans"], F.struct(start.alias("start"), end.alias("end"), span.alias("span"))).alias("spans"))
+        def last(array: Column, k: Column) -> Column:
+            return F.right(F.coalesce(F.get(array, k), F.lit("")), F.lit(CONTEXT_CHARS))
+
+        def near(array: Column, k: Column) -> Column:
+            return F.left(F.coalesce(F.get(array, k), F.lit("")), F.lit(AFTER_CHARS))
+
+        def entry(span: Column, k: Column, at: Column) -> Column:
+            start = F.get(at, k) + F.length(F.get(gaps, k))
+            ahead = behind = F.lit(None).cast("string")
+            if context:
+                behind = last(gaps, k)
+                for n in range(1, 4):
+                    behind = F.concat(last(gaps, k - n), last(found, k - n), behind)
+                behind = F.right(F.when(F.length(F.get(gaps, k)) < CONTEXT_CHARS, behind).otherwise(last(gaps, k)), F.lit(CONTEXT_CHARS))
+                ahead = F.left(F.concat(near(gaps, k + 1), near(found, k + 1)), F.lit(AFTER_CHARS))
+            return F.struct(start.alias("start"), (start + F.length(span)).alias("end"), span.alias("span"), behind.alias("before"), ahead.alias("after"))
 
-        return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+        sizes = F.transform(found, lambda span, k: F.length(F.get(gaps, k)) + F.length(span))
+        return let(before(sizes, lambda a, b: a + b), lambda at: F.transform(found, lambda span, k: entry(span, k, at)))
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps)))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps)))
 
 
 def _digits(span: Column) -> Column:
@@ -311,25 +420,44 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(BASE_SIGNS[kind]), _typed(kind, found)).otherwise(F.expr(f"cast(array() as {_SPAN_TYPE})"))
 
 
-def scored_spans(text: Column, kind: str, taken: Column) -> Column:
-    """Candidates of the wide pattern that reach their threshold and meet no base span."""
-    boosted, limit = model(kind), float(np.log(THRESHOLDS[kind] / (1 - THRESHOLDS[kind])))
+def _meets(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of disjoint spans in order overlaps [start, end), by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+
+    def nearer(n: Column, step: Column) -> Column:
+        return F.when((n + step <= F.size(spans)) & (F.get(spans, n + step - 1)["start"] < end), n + step).otherwise(n)
+
+    # the last that starts before the end also ends last
+    return F.coalesce(F.get(spans, F.aggregate(steps, F.lit(0), nearer) - 1)["end"] > start, F.lit(False))
 
-    def selected(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        after = F.substring(text, s["end"] + 1, F.lit(1))
-        of = F.struct(*[c.alias(n) for n, c in feature_columns(s["span"], before, after).items()])
-        score = _let(of, lambda row: log_odds(boosted, {n: row[n] for n in FEATURES}))
-        return ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])) & (score >= limit)
 
-    found = F.filter(matches(text, WIDE_PATTERNS[kind]), selected)
+def scored_spans(text: Column, kind: str, base: Column) -> Column:
+    """Candidates of the wide pattern that reach their threshold and meet no base span.
+
+    ``base`` is a struct of the base spans of each kind, disjoint and in order."""
+    boosted, limit = model(kind), threshold(kind)
+    limit = float(np.log(limit / (1 - limit)))
+
+    def selected(s: Column) -> Column:
+        of = F.struct(*[c.alias(n) for n, c in feature_columns(kind, s["span"], s["before"], s["after"]).items()])
+        score = let(of, lambda row: log_odds(boosted, {n: row[n] for n in FEATURES}))
+        free = F.lit(True)
+        for k in BASE_PATTERNS:
+            free = free & F.when(F.size(base[k]) > 0, ~_meets(base[k], s["start"], s["end"])).otherwise(True)
+        return free & (score >= limit)
+
+    found = F.filter(matches(text, WIDE_PATTERNS[kind], context=True), selected)
     return F.when(text.rlike(WIDE_SIGNS[kind]), _typed(kind, found)).otherwise(F.expr(f"cast(array() as {_SPAN_TYPE})"))
 
 
-def with_spans(df: DataFrame, text: Column, base: str = "_base", spans: str = "_spans") -> DataFrame:
-    """``df`` with arrays of the base spans and of all spans, by start and kind."""
-    df = df.withColumn(base, F.array_sort(F.concat(*[base_spans(text, k) for k in BASE_PATTERNS])))
-    return df.withColumn(spans, F.array_sort(F.concat(base, *[scored_spans(text, k, F.col(base)) for k in WIDE_PATTERNS])))
+def with_spans(df: DataFrame, text: str) -> DataFrame:
+    """(row, text, base, spans): rows of ``df`` as structs, so that no name clashes, with
+    arrays of the base spans and of all spans, by start and kind."""
+    held = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    held = held.withColumn("by_kind", F.struct(*[base_spans(F.col("text"), k).alias(k) for k in BASE_PATTERNS]))
+    held = held.withColumn("base", F.sort_array(F.concat(*[F.col(f"by_kind.{k}") for k in BASE_PATTERNS])))
+    added = [scored_spans(F.col("text"), k, F.col("by_kind")) for k in WIDE_PATTERNS]
+    return held.select("row", "text", "base", F.sort_array(F.concat("base", *added)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -338,13 +466,17 @@ def listed(spans: Column) -> Column:
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts of base spans, base_sha256 and all spans of each row."""
-    table = with_spans(documents_of(docs, id_col, text_col), F.col("text"))
+    table = with_spans(documents_of(docs, id_col, text_col), "text")
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in BASE_PATTERNS]
-    return table.select("doc_id", *counts, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+    return table.select("row.doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+#: Code points of the pieces that a text is cut into, as a substring counts from its start.
+_PIECE = 1024
 
 
 def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -353,16 +485,29 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None
 
     Where spans overlap, the union is replaced by the kind of the first.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    table = with_spans(docs, text, "_mw_base", "_mw_spans")
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        out = F.when(fresh, F.concat(state["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    whole = F.aggregate("_mw_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    masked = F.when(F.size("_mw_spans") > 0, whole).otherwise(F.col(text_col))
-    table = table.withColumn(text_col, masked).drop("_mw_base", "_mw_spans")
-    return table.withColumn(count_col, F.length(text_col).cast("long")) if count_col else table
+    table = with_spans(docs, text_col)
+
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _PIECE).cast("int")
+        last = F.floor((end - 1) / _PIECE).cast("int")
+        near = F.array_join(F.transform(places(first, last + 1), lambda i: F.get(pieces, i)), "")
+        return F.when(end > start, F.substring(near, start - first * _PIECE + 1, end - start)).otherwise("")
+
+    def masked(pieces: Column) -> Column:
+        def part(s: Column, k: Column, reach: Column) -> Column:
+            own = F.concat(cut(pieces, F.get(reach, k), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            return F.when(s["start"] >= F.get(reach, k), own).otherwise("")
+
+        def joined(reach: Column) -> Column:
+            end = F.aggregate("spans", F.lit(0), lambda acc, s: F.greatest(acc, s["end"]))
+            return F.concat(F.array_join(F.transform("spans", lambda s, k: part(s, k, reach)), ""), cut(pieces, end, F.length("text")))
+
+        return let(before(F.col("spans.end"), F.greatest), joined)
+
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    own = F.when(F.size("spans") > 0, let(pieces, masked)).otherwise(F.col("row")[text_col])
+    table = table.select("row", own.alias("text"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.col("text")}
+    if count_col:
+        columns[count_col] = F.length("text").cast("long")
+    return table.select(*[value.alias(name) for name, value in columns.items()])
