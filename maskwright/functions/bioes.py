@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import empty, span
+from maskwright.functions.spans import empty, leading, let, places, span
 
 # Fixed values ------------------------------------------------------------------
 ENTITIES = ("PER", "PHONE", "ID_NUM", "EMAIL", "LOC", "BANK", "DATE", "SECRET")
@@ -60,17 +60,25 @@ def transition_matrix(labels: Sequence[str], biases: Sequence[float]) -> np.ndar
     return np.array([[of[k] if k else ILLEGAL for k in row] for row in kinds]).reshape(len(labels), len(labels))
 
 
+def _preset(name: str) -> Sequence[float]:
+    if name in OPERATING_POINTS:
+        return OPERATING_POINTS[name]
+    raise KeyError(f"no operating point {name!r}; there are {', '.join(sorted(OPERATING_POINTS))}")
+
+
+#: What an operating point may be, and how its biases are read.
+_POINT_KINDS = (
+    (type(None), lambda _: (0,) * len(CATEGORIES)),
+    (str, _preset),
+    (Mapping, lambda point: [point.get(c, 0) for c in CATEGORIES]),
+    (object, tuple),
+)
+
+
 def resolve_operating_point(point: str | Mapping[str, float] | Sequence[float] | None) -> list[float]:
     """Six biases of a preset's name, a mapping (missing ones are 0) or a sequence."""
-    if point is None:
-        return [0.0] * len(CATEGORIES)
-    if isinstance(point, str):
-        if point not in OPERATING_POINTS:
-            raise KeyError(f"no operating point {point!r}; there are {', '.join(sorted(OPERATING_POINTS))}")
-        return list(OPERATING_POINTS[point])
-    if isinstance(point, Mapping):
-        return [float(point.get(c, 0.0)) for c in CATEGORIES]
-    biases = [float(x) for x in point]
+    read = next(reader for kind, reader in _POINT_KINDS if isinstance(point, kind))
+    biases = [float(x) for x in read(point)]
     if len(biases) != len(CATEGORIES):
         raise ValueError(f"{len(CATEGORIES)} biases are needed, not {len(biases)}")
     return biases
@@ -118,51 +126,76 @@ def is_valid_sequence(tags: Column) -> Column:
 def encode(spans: Column, offsets: Column) -> Column:
     """Tags of tokens: a span's tokens are those that it overlaps; later spans win.
 
-    Special and empty tokens are O. The tokens of a span are numbered once.
+    Special and empty tokens are O. A span finds its tokens by binary search where
+    tokens are in order, and a token the last of its tags among all that are made.
     """
 
-    def tag(token: Column, i: Column) -> Column:
-        real = token["e"] > token["s"]
+    def tagged(tokens: Column) -> Column:
+        """array<struct<i, j, tag>>: a tag for each token i of each span j."""
+        n = F.size(tokens)
+        in_order = F.forall(places(F.lit(1), n), lambda k: (F.get(tokens, k)["s"] >= F.get(tokens, k - 1)["s"]) & (F.get(tokens, k)["e"] >= F.get(tokens, k - 1)["e"]))
 
-        def step(found: Column, x: Column) -> Column:
-            def hits(t: Column) -> Column:
-                return (t["e"] > t["s"]) & (t["s"] < x["end"]) & (t["e"] > x["start"])
+        def hits(x: Column, ordered: Column) -> Column:
+            first = leading(n, lambda k: F.get(tokens, k)["e"] <= x["start"])
+            end = leading(n, lambda k: F.get(tokens, k)["s"] < x["end"])
+            tried = F.filter(places(F.lit(0), n), lambda k: (F.get(tokens, k)["s"] < x["end"]) & (F.get(tokens, k)["e"] > x["start"]))
+            return F.when(ordered, places(first, end)).otherwise(tried)
 
-            before = F.exists(F.slice(offsets, 1, i), hits)
-            after = F.exists(F.slice(offsets, i + 2, F.size(offsets)), hits)
-            prefix = F.when(before & after, "I").when(before, "E").when(after, "B").otherwise("S")
-            return F.when(hits(token), F.concat_ws("-", prefix, x["label"])).otherwise(found)
+        def tags(x: Column, j: Column, own: Column) -> Column:
+            def one(k: Column, p: Column) -> Column:
+                last = F.size(own) - 1
+                prefix = F.when(last == 0, "S").when(p == 0, "B").when(p == last, "E").otherwise("I")
+                return F.struct(F.get(tokens, k)["i"].alias("i"), j.alias("j"), F.concat_ws("-", prefix, x["label"]).alias("tag"))
 
-        return F.when(real, F.aggregate(spans, F.lit("O"), step)).otherwise("O")
+            return F.transform(own, one)
 
-    return F.transform(offsets, tag)
+        return let(in_order, lambda ordered: F.flatten(F.transform(spans, lambda x, j: let(hits(x, ordered), lambda own: tags(x, j, own)))))
+
+    def chosen(tags: Column) -> Column:
+        def one(i: Column) -> Column:
+            last = F.get(tags, leading(F.size(tags), lambda k: F.get(tags, k)["i"] <= i) - 1)
+            return F.when(last["i"] == i, last["tag"]).otherwise("O")
+
+        return F.transform(places(F.lit(0), F.size(offsets)), one)
+
+    numbered = F.transform(offsets, lambda t, i: F.struct(t["s"].alias("s"), t["e"].alias("e"), i.alias("i")))
+    real = F.filter(numbered, lambda t: t["e"] > t["s"])
+    found = let(let(real, tagged), lambda tags: let(F.sort_array(tags), chosen))
+    return F.when(spans.isNotNull() & offsets.isNotNull(), found)
 
 
 def decode(tags: Column, offsets: Column) -> Column:
     """Spans of tags, lenient to broken sequences: an I or E that continues nothing
     opens a span, and one that is open ends before another label, O, B or S."""
-    none = F.lit(None).cast("string")
-    closed = F.struct(none.alias("label"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
-
-    def flushed(state: Column) -> Column:
-        return F.when(state["open"]["label"].isNotNull(), F.array_append(state["out"], state["open"])).otherwise(state["out"])
-
-    def step(state: Column, x: Column) -> Column:
-        prefix, label = F.substring_index(x["tag"], "-", 1), entity_of(x["tag"])
-        out_tag = (x["tag"] == "O") | ((x["o"]["s"] == 0) & (x["o"]["e"] == 0))
-        own = span(label, x["o"]["s"], x["o"]["e"])
-        goes_on = F.coalesce(prefix.isin("I", "E") & (state["open"]["label"] == label), F.lit(False))
-        grown = span(state["open"]["label"], state["open"]["start"], x["o"]["e"])
-        current = F.when(goes_on, grown).otherwise(own)
-        out = F.when(goes_on, state["out"]).otherwise(flushed(state))
-        ends = prefix.isin("E", "S")
-        return F.when(out_tag, F.struct(closed.alias("open"), flushed(state).alias("out"))).otherwise(
-            F.struct(F.when(ends, closed).otherwise(current).alias("open"), F.when(ends, F.array_append(out, current)).otherwise(out).alias("out"))
-        )
+
+    def outside(x: Column) -> Column:
+        return (x["tag"] == "O") | ((x["o"]["s"] == 0) & (x["o"]["e"] == 0))
+
+    def goes_on(x: Column, last: Column) -> Column:
+        same = x["prefix"].isin("I", "E") & (last["label"] == x["label"]) & ~last["prefix"].isin("E", "S") & ~outside(last)
+        return F.coalesce(same, F.lit(False))
+
+    def found(x: Column) -> Column:
+        # a token that does not go on ends what is before it, and opens a span if it can
+        n = F.size(x)
+        edges = F.filter(places(F.lit(0), n), lambda k: outside(F.get(x, k)) | ~goes_on(F.get(x, k), F.get(x, k - 1)))
+
+        def spans(e: Column) -> Column:
+            opened = F.filter(places(F.lit(0), F.size(e)), lambda j: ~outside(F.get(x, F.get(e, j))))
+
+            def one(j: Column) -> Column:
+                first, last = F.get(x, F.get(e, j)), F.get(x, F.coalesce(F.get(e, j + 1), n) - 1)
+                return span(first["label"], first["o"]["s"], last["o"]["e"])
+
+            return F.transform(opened, one)
+
+        return let(edges, spans)
 
     n = F.least(F.size(tags), F.size(offsets))
-    pairs = F.zip_with(F.slice(tags, 1, n), F.slice(offsets, 1, n), lambda t, o: F.struct(t.alias("tag"), o.alias("o")))
-    return F.aggregate(pairs, F.struct(closed.alias("open"), empty().alias("out")), step, flushed)
+    parts = F.zip_with(
+        F.slice(tags, 1, n), F.slice(offsets, 1, n), lambda t, o: F.struct(t.alias("tag"), F.substring_index(t, "-", 1).alias("prefix"), entity_of(t).alias("label"), o.alias("o"))
+    )
+    return let(parts, found)
 
 
 # Viterbi ----------------------------------------------------------------------

@@ -35,16 +35,18 @@ SCRIPTS = {
         "AB60-AB64 AB66-AB68 FB00-FB06 FF21-FF3A FF41-FF5A 1DF00-1DF1E 1DF25-1DF2A"
     ),
 }
-#: Characters of only one Chinese form.
+# Characters of only one Chinese form -------------------------------
 SIMPLIFIED = (
-    "专业东个义乐习书买们价众会体党关写击务区医单卖历县发台后团国处备头学实对岛师应开"
-    "当战报时杂来极标样楼欢湾点爱现电离红约级纪线练组细经给络继续维绿网罗职节营见觉计"
-    "认让议讯设证识话询语说读课谁资车边达迁过运还这钱铁银镇长门闭问际难题马龙"
+    "们这国时还会个东车门长马问说见证过当后样经现边师应关习书实战报"
+    "觉让认识语务写单价众节约级纪线练组细给继续维绿罗职专业达迁运"
+    "电话来开学区湾体义医难头买卖红钱银铁极标楼龙岛县镇党团设计议"
+    "讯询谁课读资际处备杂台湾湾们对发欢爱乐离开关闭历题点击网络营"
 )
 TRADITIONAL = (
-    "來個們備價務區問單國團報學實寫專對島師彎後愛應戰擊時書會東業極樂樓標樣歡歷灣營現"
-    "當發眾節紀約紅級細組絡給經綠維網線練縣繼續羅義習職臺處見覺計訊設詢話認語說誰課證"
-    "識議讀讓買資賣車這運過達遷還邊醫銀錢鎮鐵長門閉開關際雜離難電頭題馬體點黨龍"
+    "們這國時還會個東車門長馬問說見證過當後樣經現邊師應關習書實戰報"
+    "覺讓認識語務寫單價眾節約級紀線練組細給繼續維綠羅職專業達遷運"
+    "電話來開學區灣體義醫難頭買賣紅錢銀鐵極標樓龍島縣鎮黨團設計議"
+    "訊詢誰課讀資際處備雜臺灣彎們對發歡愛樂離開關閉歷題點擊網絡營"
 )
 #: Environment variable that names the language of texts without a signal.
 FALLBACK_VARIABLE = "MASKWRIGHT_LANG"
@@ -56,6 +58,10 @@ def script_class(script: str) -> str:
     return "[" + "".join("-".join(f"\\x{{{x}}}" for x in r) for r in ranges) + "]"
 
 
+#: No script but Latin has a character below it.
+_ABOVE_LATIN = r"[\x{1100}-\x{10FFFF}]"
+
+
 def script_count(text: Column, script: str) -> Column:
     return F.regexp_count(text, F.lit(script_class(script)))
 
@@ -99,18 +105,25 @@ def detect_language(text: Column, available: Sequence[str], fallback: str | None
             ("ko", F.lit("ko"), n["Hangul"]),
             ("ja", F.lit("ja"), kana),
             ("ja", F.lit("ja"), F.when(kana > 0, n["Han"]).otherwise(0)),
-            ("zh", chinese_form(text, available), F.when(kana > 0, 0).otherwise(n["Han"])),
+            ("zh", F.when(n["Han"] > 0, chinese_form(text, available)), F.when(kana > 0, 0).otherwise(n["Han"])),
         )
         # most characters first; the listed order breaks ties
         ranked = F.array(*[F.struct((-count).alias("rank"), F.lit(i).alias("ord"), code.alias("code")) for i, (_, code, count) in enumerate(signals)])
         fit = F.filter(F.array_sort(ranked), lambda s: (s["rank"] < 0) & s["code"].isin(*available)) if available else F.filter(ranked, lambda s: F.lit(False))
-        latin = F.when((n["Latin"] > 0) & F.lit("en" in available), "en")
-        return F.coalesce(F.get(fit, F.lit(0))["code"], latin, F.lit(other).cast("string"))
+        return F.get(fit, F.lit(0))["code"]
 
-    counted = F.transform(F.array(script_counts(text)), chosen)
-    return F.when(text.isNotNull(), F.get(counted, F.lit(0)))
+    # most texts have no character of the other scripts, which one search tells
+    scripts = F.struct(*[script_count(text, s).alias(s) for s in SCRIPTS if s != "Latin"])
+    by_script = F.when(text.rlike(_ABOVE_LATIN), F.get(F.transform(F.array(scripts), chosen), F.lit(0)))
+    latin = F.when(text.rlike(script_class("Latin")), "en") if "en" in available else F.lit(None).cast("string")
+    return F.when(text.isNotNull(), F.coalesce(by_script, latin, F.lit(other).cast("string")))
 
 
 def route(text: Column, available: Sequence[str], fallback: str | None = None) -> Column:
     """``detect_language``, or the alphabetically first language."""
-    return F.coalesce(detect_language(text, available, fallback), F.lit(min(available)))
+    return routed(detect_language(text, available, fallback), available)
+
+
+def routed(detected: Column, available: Sequence[str]) -> Column:
+    """The detected language, or the alphabetically first one."""
+    return F.coalesce(detected, F.lit(min(available)))

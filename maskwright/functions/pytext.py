@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Sequence
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,22 +32,26 @@ def decode_mismatch(text: Column, decoded: Column) -> Column:
 
 
 def token_offsets(text: str, tokens: Sequence[str], special: frozenset[str]) -> list[dict]:
-    """Offsets of word pieces found one after another in the NFKC form of a text.
+    """Offsets of word pieces that stand one after another in the NFKC form of a text.
 
-    Special tokens and those not found are (0, 0) and move nothing.
+    Special tokens and those that are not found are (0, 0); the next one is then looked
+    for where the one before ended. A piece of several characters that one character's
+    form has is that character.
     """
-    forms = [unicodedata.normalize("NFKC", c) for c in text]
-    origin = [i for i, form in enumerate(forms) for _ in form]
-    normal, at, found = "".join(forms), 0, []
-    for token in tokens:
-        piece = token.removeprefix("##")
-        place = -1 if token in special or not piece else normal.find(piece, at)
-        if place < 0:
-            found.append({"s": 0, "e": 0})
-            continue
-        at = place + len(piece)
-        found.append({"s": origin[place], "e": origin[at - 1] + 1})
-    return found
+    parts = [unicodedata.normalize("NFKC", c) for c in text]
+    whole, ends = "".join(parts), np.cumsum([len(x) for x in parts], dtype=np.int64)
+    pieces = ["" if t in special else t.removeprefix("##") for t in tokens]
+
+    def following(last: tuple[int, int], piece: str) -> tuple[int, int]:
+        place = whole.find(piece, last[1]) if piece else -1
+        return (place, place + len(piece)) if place >= 0 else (-1, last[1])
+
+    places = np.array(list(accumulate(pieces, following, initial=(-1, 0)))[1:], np.int64).reshape(-1, 2)
+    known = places[:, 0] >= 0
+    # the character whose form holds a place is the first that ends beyond it
+    first = np.where(known, np.searchsorted(ends, places[:, 0], side="right"), 0)
+    end = np.where(known, np.searchsorted(ends, places[:, 1] - 1, side="right") + 1, 0)
+    return [{"s": int(s), "e": int(e)} for s, e in zip(first, end, strict=True)]
 
 
 def reconstructed_offsets(text: Column, tokens: Column, special: Sequence[str] = ("[CLS]", "[SEP]", "[PAD]", "[UNK]", "[MASK]")) -> Column:

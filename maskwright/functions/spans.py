@@ -32,25 +32,54 @@ def empty(kind: str = SPANS) -> Column:
     return F.expr(f"cast(array() as {kind})")
 
 
-#: Elements that a growing array holds before they move to its finished blocks.
-_BLOCK = 64
+_BLOCK = 128
 
 
-def growing(kind: str) -> Column:
-    """An empty array that a fold may append to without copying all of it each time."""
-    return F.struct(empty(f"array<array<{kind}>>").alias("done"), empty(f"array<{kind}>").alias("open"))
+def places(first: Column, end: Column) -> Column:
+    """The integers from first up to end, without it."""
+    return F.when(end > first, F.sequence(first, end - 1)).otherwise(empty("array<int>"))
 
 
-def grown(array: Column, entry: Column) -> Column:
-    full = F.size(array["open"]) >= _BLOCK
-    return F.struct(
-        F.when(full, F.array_append(array["done"], array["open"])).otherwise(array["done"]).alias("done"),
-        F.when(full, F.array(entry)).otherwise(F.array_append(array["open"], entry)).alias("open"),
-    )
+def before(values: Column, join: Callable[[Column, Column], Column], start: Column) -> Column:
+    """For each element of an array of numbers, ``join`` over all before it, from ``start``.
+
+    A fold copies its state at every step, so one that builds an array takes quadratic
+    time. Here folds only carry a number, over the blocks of 128 before an element's own
+    and within that. Deeper trees would cost analysis more than they save.
+    """
+
+    def over(v: Column, first: Column, end: Column) -> Column:
+        return F.aggregate(places(first, end), start, lambda acc, i: join(acc, F.get(v, i)))
+
+    def blocks(v: Column) -> Column:
+        count = F.floor((F.size(v) + _BLOCK - 1) / _BLOCK).cast("int")
+        return F.transform(places(F.lit(0), count), lambda b: over(v, b * _BLOCK, F.least(F.size(v), (b + 1) * _BLOCK)))
+
+    def one(v: Column, above: Column, k: Column) -> Column:
+        b = F.floor(k / _BLOCK).cast("int")
+        return join(over(above, F.lit(0), b), over(v, b * _BLOCK, k))
+
+    return let(values, lambda v: let(blocks(v), lambda above: F.transform(v, lambda _, k: one(v, above, k))))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def leading(size: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many of the places 0, 1, ... ``holds`` is true for, which it is up to some
+    place and not beyond, by binary search."""
+    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= size) & holds(n + step - 1), n + step).otherwise(n))
+
 
+def runs(size: Column, opens: Callable[[Column], Column]) -> Column:
+    """array<struct<first, end>>: stretches of places, each from one that opens up to the next."""
 
-def whole(array: Column) -> Column:
-    return F.flatten(F.array_append(array["done"], array["open"]))
+    def closed(firsts: Column) -> Column:
+        return F.transform(firsts, lambda k, j: F.struct(k.alias("first"), F.coalesce(F.get(firsts, j + 1), size).alias("end")))
+
+    return let(F.filter(places(F.lit(0), size), opens), closed)
 
 
 def span(label: Column, start: Column, end: Column) -> Column:
@@ -79,13 +108,12 @@ def regex_matches(text: Column, pattern: str) -> Column:
     kind = "struct<start: int, end: int, text: string>"
 
     def placed(found: Column, gaps: Column) -> Column:
-        def step(state: Column, match: Column) -> Column:
-            start = state["at"] + F.length(F.get(gaps, state["n"]))
-            entry = F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("text"))
-            return F.struct((start + F.length(match)).alias("at"), (state["n"] + 1).alias("n"), grown(state["out"], entry).alias("out"))
+        def entry(match: Column, k: Column, at: Column) -> Column:
+            start = F.get(at, k) + F.length(F.get(gaps, k))
+            return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("text"))
 
-        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), growing(kind).alias("out"))
-        return F.aggregate(found, begin, step, lambda s: whole(s["out"]))
+        sizes = F.transform(found, lambda match, k: F.length(F.get(gaps, k)) + F.length(match))
+        return let(before(sizes, plus, F.lit(0)), lambda at: F.transform(found, lambda match, k: entry(match, k, at)))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(m, gaps))).otherwise(empty(f"array<{kind}>")))
@@ -119,33 +147,32 @@ def greedy(found: Column, kind: str) -> Column:
     that overlap one another are compared, so disjoint matches cost nothing.
     """
 
-    def taken(run: Column) -> Column:
+    def best(run: Column) -> Column:
         def step(kept: Column, x: Column) -> Column:
             return F.when(F.exists(kept, lambda k: overlaps(k, x)), kept).otherwise(F.array_append(kept, x))
 
-        return F.when(F.size(run) == 1, run).otherwise(F.aggregate(F.array_sort(run), empty(f"array<{kind}>"), step))
+        return F.aggregate(F.sort_array(run), empty(f"array<{kind}>"), step)
+
+    def chosen(placed: Column) -> Column:
+        def taken(run: Column) -> Column:
+            one = F.array(F.get(placed, run["first"])["x"])
+            several = F.transform(places(run["first"], run["end"]), lambda k: F.get(placed, k)["x"])
+            return F.when(run["end"] - run["first"] == 1, one).otherwise(best(several))
 
-    runs_kind = f"array<{kind}>"
+        ends = F.transform(placed, lambda p: p["x"]["end"])
+        parted = let(before(ends, F.greatest, F.lit(0)), lambda reach: runs(F.size(placed), lambda k: F.get(placed, k)["at"] >= F.get(reach, k)))
+        return F.flatten(F.transform(parted, taken))
 
-    def gather(state: Column, s: Column) -> Column:
-        x = s["x"]
-        fresh = x["start"] >= state["reach"]
-        return F.struct(
-            F.when(fresh & (F.size(state["open"]) > 0), grown(state["runs"], state["open"])).otherwise(state["runs"]).alias("runs"),
-            F.when(fresh, F.array(x)).otherwise(F.array_append(state["open"], x)).alias("open"),
-            F.when(fresh, x["end"]).otherwise(F.greatest(state["reach"], x["end"])).alias("reach"),
-        )
+    def ordered(every: Column) -> Column:
+        return F.sort_array(F.transform(every, lambda x: F.struct(x["start"].alias("at"), x.alias("x"))))
 
-    placed = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("at"), x.alias("x"))))
-    start = F.struct(growing(runs_kind).alias("runs"), empty(runs_kind).alias("open"), F.lit(0).alias("reach"))
-    runs = F.aggregate(placed, start, gather, lambda s: F.array_append(whole(s["runs"]), s["open"]))
-    return F.when(F.size(found) <= 1, found).otherwise(F.flatten(F.transform(runs, taken)))
+    return let(found, lambda every: F.when(F.size(every) <= 1, every).otherwise(let(ordered(every), chosen)))
 
 
 def by_start(spans: Column) -> Column:
     """Label, start and end of each element, by start (then end and label)."""
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
-    return F.transform(F.array_sort(keyed), lambda s: span(s["label"], s["start"], s["end"]))
+    return F.transform(F.sort_array(keyed), lambda s: span(s["label"], s["start"], s["end"]))
 
 
 def regex_spans(text: Column, rules: Sequence[RegexRule]) -> Column:
@@ -233,60 +260,97 @@ def apply_ner_precedence(regex: Column, ner: Column, rules: Sequence[NerPreceden
 _MERGING = "struct<origin: int, shorter: int, start: int, ord: int, end: int, label: string>"
 
 
-def merge_union(regex: Column, ner: Column) -> Column:
-    """Both span sets without overlaps.
+def merge_union(df: DataFrame, regex: Column, ner: Column, out: str) -> DataFrame:
+    """``df`` with both span sets without overlaps in the column ``out``.
 
     A regex span grows over overlapping model spans of its label, again and again as
     it grows; each of them is absorbed once, by the first regex span that reaches it.
     Then regex spans go before model spans, longer before shorter, earlier before later.
+
+    Model spans of a label that overlap one another form chains, disjoint and in order:
+    a regex span that overlaps a chain reaches all of it, and the first such takes it.
+    Labels are set apart by adding a multiple of 2**32 to their offsets, so that one
+    sweep serves all of them. The steps are projections of one narrow stage.
     """
+    r, n, reach, chains, owners, temporary = (F.col(f"_mw_{x}") for x in ("r", "n", "reach", "chains", "owners", "labels"))
+    apart = F.shiftleft(F.lit(1).cast("long"), 32)
+
+    def lifted(spans: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            base = F.array_position(temporary, x["label"]) * apart
+            return F.struct((base + x["start"]).alias("start"), (base + x["end"]).alias("end"), k.alias("ord"), x["start"].alias("s"), x["end"].alias("e"), x["label"].alias("label"))
+
+        return F.sort_array(F.transform(spans, one))
+
+    def highest(spans: Column) -> Column:
+        return before(F.transform(spans, lambda x: x["end"]), F.greatest, F.lit(-1).cast("long"))
 
-    def merged(r_all: Column, n_all: Column) -> Column:
-        def grow(state: Column, r: Column) -> Column:
-            def step(own: Column, n: Column) -> Column:
-                hit = (n["label"] == r["label"]) & (own["start"] < n["end"]) & (own["end"] > n["start"]) & ~F.array_contains(own["used"], n["i"])
-                return F.struct(
-                    F.when(hit, F.least(own["start"], n["start"])).otherwise(own["start"]).alias("start"),
-                    F.when(hit, F.greatest(own["end"], n["end"])).otherwise(own["end"]).alias("end"),
-                    F.when(hit, F.array_append(own["used"], n["i"])).otherwise(own["used"]).alias("used"),
-                )
+    def hull(c: Column) -> Column:
+        first = F.get(n, c["first"])
+        end = F.aggregate(places(c["first"], c["end"]), F.lit(-1).cast("long"), lambda acc, k: F.greatest(acc, F.get(n, k)["end"]))
+        return F.struct(first["start"].alias("start"), end.alias("end"), (end - first["start"] + first["s"]).cast("int").alias("e"), first["s"].alias("s"), c["first"].alias("first"), c["end"].alias("last"))
 
-            def finish(own: Column) -> Column:
-                return F.struct(own["used"].alias("used"), F.array_append(state["out"], span(r["label"], own["start"], own["end"])).alias("out"))
+    def owner(c: Column) -> Column:
+        """The first regex span that overlaps a chain, among those that end after its
+        start, by their running maximum, and start before its end."""
+        low = leading(F.size(r), lambda k: F.greatest(F.get(reach, k), F.get(r, k)["end"]) <= c["start"])
+        high = leading(F.size(r), lambda k: F.get(r, k)["start"] < c["end"])
+        return F.aggregate(places(low, high), F.lit(None).cast("int"), lambda acc, k: F.when(overlaps(F.get(r, k), c), F.least(acc, F.get(r, k)["ord"])).otherwise(acc))
 
-            numbered = F.transform(n_all, lambda n, i: F.struct(n["label"].alias("label"), n["start"].alias("start"), n["end"].alias("end"), i.alias("i")))
-            rounds = F.flatten(F.array_repeat(numbered, F.size(n_all)))
-            return F.aggregate(rounds, F.struct(r["start"].alias("start"), r["end"].alias("end"), state["used"].alias("used")), step, finish)
+    def sorted_by(origin: int, start: Column, end: Column, ord: Column, label: Column) -> Column:
+        return F.struct(F.lit(origin).alias("origin"), (start - end).alias("shorter"), start.alias("start"), ord.alias("ord"), end.alias("end"), label.alias("label"))
 
-        start = F.struct(empty("array<int>").alias("used"), empty().alias("out"))
+    def grown(x: Column) -> Column:
+        low = leading(F.size(chains), lambda k: F.get(chains, k)["end"] <= x["start"])
+        high = leading(F.size(chains), lambda k: F.get(chains, k)["start"] < x["end"])
+        mine = F.filter(places(low, high), lambda k: F.get(owners, k) == x["ord"])
 
-        def resolved(state: Column) -> Column:
-            def keyed(origin: int) -> Callable[[Column, Column], Column]:
-                return lambda s, i: F.struct(
-                    F.lit(origin).alias("origin"), (s["start"] - s["end"]).alias("shorter"), s["start"].alias("start"), i.alias("ord"), s["end"].alias("end"), s["label"].alias("label")
-                )
+        def widened(m: Column) -> Column:
+            start = F.least(x["s"], F.get(chains, F.get(m, F.lit(0)))["s"])
+            return sorted_by(0, start, F.greatest(x["e"], F.get(chains, F.get(m, F.size(m) - 1))["e"]), x["ord"], x["label"])
 
-            left = F.filter(n_all, lambda n, i: ~F.array_contains(state["used"], i))
-            every = F.concat(F.transform(state["out"], keyed(0)), F.transform(left, keyed(1)))
-            return let(every, lambda found: by_start(greedy(found, _MERGING)))
+        return let(mine, widened)
 
-        return let(F.aggregate(r_all, start, grow), resolved)
+    free = F.filter(places(F.lit(0), F.size(chains)), lambda k: F.get(owners, k).isNull())
+    left = F.flatten(F.transform(free, lambda k: F.transform(places(F.get(chains, k)["first"], F.get(chains, k)["last"]), lambda j: F.get(n, j))))
+    every = F.concat(F.transform(r, grown), F.transform(left, lambda x: sorted_by(1, x["s"], x["e"], x["ord"], x["label"])))
 
-    return let(regex, lambda r: let(ner, lambda n: merged(r, n)))
+    df = df.withColumns({"_mw_labels": F.array_distinct(F.transform(F.concat(regex, ner), lambda x: x["label"])), "_mw_r": regex, "_mw_n": ner})
+    df = df.withColumns({"_mw_r": lifted(r), "_mw_n": lifted(n)})
+    df = df.withColumns({"_mw_reach": highest(r), "_mw_chains": highest(n)})
+    df = df.withColumn("_mw_chains", F.transform(runs(F.size(n), lambda k: F.get(n, k)["start"] >= F.get(chains, k)), hull))
+    df = df.withColumn("_mw_owners", F.transform(chains, owner))
+    df = df.withColumn("_mw_labels", every)
+    return df.withColumn(out, by_start(greedy(temporary, _MERGING))).drop("_mw_r", "_mw_n", "_mw_reach", "_mw_chains", "_mw_owners", "_mw_labels")
 
 
 def coalesce_adjacent(spans: Column) -> Column:
     """Spans of one label that touch or overlap, merged with the one before them."""
 
-    def step(out: Column, s: Column) -> Column:
-        previous = F.try_element_at(out, F.lit(-1))
-        joins = F.coalesce((previous["label"] == s["label"]) & (s["start"] <= previous["end"]), F.lit(False))
-        grown = F.array_append(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), span(s["label"], previous["start"], F.greatest(previous["end"], s["end"])))
-        return F.when(joins, grown).otherwise(F.array_append(out, span(s["label"], s["start"], s["end"])))
+    def changed(s: Column, k: Column) -> Column:
+        return (k == 0) | (F.get(s, k)["label"] != F.get(s, k - 1)["label"])
+
+    def merged(s: Column) -> Column:
+        # stretches of one label are numbered, so that ends of an earlier one never reach
+        turns = F.transform(s, lambda _, k: changed(s, k).cast("long"))
+        numbers = let(turns, lambda t: F.zip_with(before(t, plus, F.lit(0).cast("long")), t, plus))
+
+        def joined(stretch: Column) -> Column:
+            lifted = F.shiftleft(F.lit(1).cast("long"), 32)
+            ends = F.transform(s, lambda x, k: F.get(stretch, k) * lifted + x["end"])
+
+            def run(r: Column) -> Column:
+                first = F.get(s, r["first"])
+                end = F.aggregate(places(r["first"], r["end"]), first["end"], lambda acc, k: F.greatest(acc, F.get(s, k)["end"]))
+                return span(first["label"], first["start"], end)
+
+            return let(before(ends, F.greatest, F.lit(-1).cast("long")), lambda reach: F.transform(runs(F.size(s), lambda k: F.get(stretch, k) * lifted + F.get(s, k)["start"] > F.get(reach, k)), run))
+
+        return let(numbers, joined)
 
     # stable order by start and end
     keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("ord"), s["label"].alias("label")))
-    return F.aggregate(F.array_sort(keyed), empty(), step)
+    return let(F.sort_array(keyed), merged)
 
 
 # results ----------------------------------------------------------------------
@@ -314,14 +378,12 @@ def assemble(text: Column, spans: Column, output_mode: str = "typed", entity_typ
 def rendered(text: Column, detected: Column, replace: Callable[[Column], Column]) -> Column:
     """``text`` with each of disjoint sorted spans replaced."""
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(s["end"].alias("at"), grown(state["out"], F.concat(gap, replace(s))).alias("out"))
-
-    def finish(state: Column) -> Column:
-        return F.concat(F.array_join(whole(state["out"]), ""), F.substring(text, state["at"] + 1, F.length(text)))
+    def part(s: Column, k: Column) -> Column:
+        last = F.when(k > 0, F.get(detected, k - 1)["end"]).otherwise(0)
+        return F.concat(F.substring(text, last + 1, s["start"] - last), replace(s))
 
-    masked = F.aggregate(detected, F.struct(F.lit(0).alias("at"), growing("string").alias("out")), step, finish)
+    end = F.get(detected, F.size(detected) - 1)["end"]
+    masked = F.concat(F.array_join(F.transform(detected, part), ""), F.substring(text, end + 1, F.length(text)))
     return F.when(F.size(detected) > 0, masked).otherwise(text)
 
 

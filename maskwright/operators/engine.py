@@ -82,7 +82,7 @@ class RedactionEngine:
         ner = spans.filter_stopwords(F.col(_NER), text, sorted(self.config.stopwords))
         df = df.withColumn(_NER, spans.trim_trailing(ner, text, self.config.span_trims))
         regex = spans.apply_ner_precedence(F.col(_REGEX), F.col(_NER), self.config.ner_precedence)
-        return df.withColumn(_MERGED, spans.merge_union(regex, F.col(_NER))).drop(_REGEX, _NER)
+        return spans.merge_union(df, regex, F.col(_NER), _MERGED).drop(_REGEX, _NER)
 
     def detected(self, df: DataFrame, text_col: str = "text", entity_types: Iterable[str] | None = None, output_mode: str = "typed", operating_point: OperatingPoint = None, out: str = "detected_spans") -> DataFrame:
         """``df`` with an array of detected spans and ``decoded_mismatch``."""

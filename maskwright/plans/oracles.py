@@ -36,13 +36,13 @@ k AS (SELECT {keys}, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambd
 sp AS (SELECT {keys}, z.label AS label, z.s AS "start", z.e AS "end" FROM k)"""
 
 
-def _masked(source: str, keys: str, placeholder: str, wanted: str = "true", more: str = "") -> str:
-    """Redacted texts and span counts from sp."""
+def _masked(source: str, keys: str, placeholder: str, wanted: str = "true", more: str = "", found: str = "sp") -> str:
+    """Redacted texts and span counts from the spans of ``found``."""
     on = " AND ".join(f"d.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
     own = ", ".join(f"d.{k.strip()}" for k in keys.split(","))
     return f"""
-b AS (SELECT sp.*, lag("end") OVER (PARTITION BY {keys} ORDER BY "start") AS last FROM sp WHERE {wanted}),
-r AS (SELECT {keys}, count(*)::INTEGER AS n, list({{'g': coalesce(last, 0), 's': "start", 'e': "end", 'p': {placeholder}}} ORDER BY "start") AS xs FROM b GROUP BY {keys})
+b AS (SELECT *, lag("end") OVER (PARTITION BY {keys} ORDER BY "start", "end") AS last FROM {found} WHERE {wanted}),
+r AS (SELECT {keys}, count(*)::INTEGER AS n, list({{'g': coalesce(last, 0), 's': "start", 'e': "end", 'p': {placeholder}}} ORDER BY "start", "end") AS xs FROM b GROUP BY {keys})
 SELECT {own}{more}, CASE WHEN r.n IS NULL THEN text ELSE array_to_string(list_transform(xs, lambda x: substr(text, x.g + 1, x.s - x.g) || replace(x.p, '{{}}', substr(text, x.s + 1, x.e - x.s))), '') || substr(text, xs[-1].e + 1) END AS redacted_text,
   coalesce(r.n, 0)::INTEGER AS span_count FROM {source} d LEFT JOIN r ON {on}"""
 
@@ -222,6 +222,40 @@ SELECT d.doc_id, '{{"output_mode":"typed","span_count":' || coalesce(m.spans, 0)
 FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN j ON j.doc_id = d.doc_id"""
 
 _DOCS = f"WITH {_spans(q.RULES)}"
+
+# the model's spans: the first word, with its suffix cut, and the six characters after it
+_HYBRID = f"""
+{_DOCS},
+w AS (SELECT doc_id, text, length(regexp_extract(text, '^[^ ]*'))::INTEGER AS w FROM documents),
+m AS (
+  SELECT doc_id, text, 'PER' AS label, 0 AS s, (w - CASE WHEN ends_with(substr(text, 1, w), 'es') THEN CASE WHEN w >= 4 THEN 2 ELSE 0 END
+    WHEN ends_with(substr(text, 1, w), 's') AND w >= 3 THEN 1 ELSE 0 END)::INTEGER AS e, w AS whole FROM w
+  UNION ALL SELECT doc_id, text, 'LOC', w, w + 6, w + 6 FROM w),
+n AS (SELECT doc_id, label, s, e FROM m WHERE trim(substr(text, s + 1, whole - s), E' \\t\\n\\r') NOT IN ('The', 'An')),
+every AS (
+  SELECT doc_id, label, "start", "end" FROM sp
+  UNION ALL SELECT doc_id, label, s, e FROM n WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.doc_id = n.doc_id AND sp."start" < n.e AND sp."end" > n.s)),
+{_masked('documents', 'doc_id', _TYPED, found='every')}"""
+
+_PIECES = ", ".join(f"({-i}, {len(o)}, {sum(s for s, _ in o)}, {sum(e for _, e in o)}, {max(e for _, e in o)})" for i, _, _, o in q.PIECES)
+_OFFSETS = f"""
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS k FROM w),
+o AS (SELECT doc_id, x, k + sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS e FROM t),
+f AS (SELECT doc_id, count(*) AS n, sum(e - length(x)) AS s, sum(e) AS e, max(e) AS last FROM o WHERE x <> '' GROUP BY doc_id)
+SELECT d.doc_id AS id, coalesce(n, 0)::INTEGER AS n, coalesce(s, 0)::BIGINT AS starts, coalesce(e, 0)::BIGINT AS ends, coalesce(last, 0)::INTEGER AS last FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id
+UNION ALL SELECT id, n::INTEGER, s::BIGINT, e::BIGINT, last::INTEGER FROM (VALUES {_PIECES}) v(id, n, s, e, last)"""
+
+_DECODED = f"""
+SELECT doc_id AS id, doc_id % 3 = 2 AS mismatch FROM documents
+UNION ALL SELECT id, mismatch FROM (VALUES {', '.join(f"({-i}, {str(lost).lower()})" for i, _, _, lost in q.DECODED)}) v(id, mismatch)"""
+
+# a record's number is the document's; gold has two of the rules
+_EVAL_RUN = f"""
+{_DOCS},
+g AS (WITH {_spans((q.RULES[1], q.RULES[3]))} SELECT * FROM sp),
+x AS (SELECT doc_id, label, "start", "end", bool_or(gold) AS g, bool_or(NOT gold) AS p FROM (SELECT *, true AS gold FROM g UNION ALL SELECT *, false FROM sp) GROUP BY doc_id, label, "start", "end"),
+t AS (SELECT coalesce(label, 'micro') AS label, {_COUNTS} FROM x GROUP BY ROLLUP (label)) SELECT label, {_PRF} FROM t"""
 _SP = 'SELECT doc_id, label, "start", "end" FROM sp'
 ORACLE_SQL = {
     "regex_spans": f"{_DOCS} {_SP}",
@@ -241,7 +275,11 @@ SELECT c_custkey, value, (11 - list_sum(list_transform(range(1, 13), lambda i: s
     "highlight_plain": f"SELECT doc_id, redacted_text AS highlighted FROM ({_DOCS}, {_masked('documents', 'doc_id', "'[{}](' || label || ')'")})",
     "label_summary": _summary(),
     "script_counts": f"WITH {_EVERY} SELECT id, {_SCRIPTS} FROM t",
-    "simp_trad": f"SELECT -id AS id, {_form(language.SIMPLIFIED)}::INTEGER AS simplified, {_form(language.TRADITIONAL)}::INTEGER AS traditional FROM (VALUES {_ROUTED}) v(id, text)",
+    "simp_trad": f"WITH {_EVERY} SELECT id, {_form(language.SIMPLIFIED)}::INTEGER AS simplified, {_form(language.TRADITIONAL)}::INTEGER AS traditional FROM t",
+    "hybrid_redact": _HYBRID,
+    "nfkc_offsets": _OFFSETS,
+    "decode_mismatch": _DECODED,
+    "eval_run": _EVAL_RUN,
     "route_language": _ROUTE,
     "auto_redact": f"SELECT doc_id, 'en' AS language, redacted_text, span_count FROM ({_DOCS}, {_masked('documents', 'doc_id', _TYPED)})",
     "label_space": "SELECT id::INTEGER AS id, label FROM (VALUES " + ", ".join(f"({i}, {_text(x)})" for i, x in enumerate(bioes.label_list())) + ") v(id, label)",

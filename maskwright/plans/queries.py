@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from maskwright.operators.emissions import GivenSpans
 from maskwright.operators.engine import AutoEngine, RedactionEngine, summary_by_label
 from maskwright.sources.packs import EntityConfig, load_label_space
 from maskwright.sources.rules import RegexRule
+from maskwright.sources.text import eval_records
 from maskwright.streaming import redact as streaming
 
 # Shared with the SQL in oracles.py; patterns mean the same to Java, RE2 and Python.
@@ -41,17 +42,24 @@ TRIMS = (spans.SpanTrim("PER", "", ("t", "et", "g"), 3), spans.SpanTrim("PER", "
 LABEL_MAP = {"PER": "PERSON", "LOC": "PLACE"}
 LANGUAGES = ("en", "ja", "ko", "zh-Hans", "zh-Hant")
 ROUTED = (
-    (1, "홍길동 010-1234-5678"),
-    (2, "John Smith 555-123-4567"),
-    (3, "山田たろう です"),
-    (4, "张伟说这个国家很现代"),
-    (5, "張偉說這個國家很現代"),
-    (6, "中文"),
-    (7, "12345 !!!"),
-    (8, "홍길동 a@b.com"),
+    (1, "박서준 고객 번호 77-20"),
+    (2, "Ada Lovelace wrote 12 notes"),
+    (3, "佐藤さん は 元気"),
+    (4, "这里的学习时间还不够"),
+    (5, "這裡的學習時間還不夠"),
+    (6, "山水"),
+    (7, "2024/05 ???"),
+    (8, "서울 office@c.org"),
     (9, ""),
     (10, "カタカナー と 漢字漢字漢字"),
 )
+#: (id, text, tokens, (s, e) of each) of word pieces over normalized forms.
+PIECES = (
+    (1, "ＴＥＬ ４５ー６", ("[CLS]", "TEL", "45", "##ー6", "[SEP]"), ((0, 0), (0, 3), (4, 6), (6, 8), (0, 0))),
+    (2, "ﬁve ㎞", ("fi", "##ve", "k", "##m", "gone"), ((0, 1), (1, 3), (4, 5), (4, 5), (0, 0))),
+)
+#: (id, text, decoded text, whether something was lost).
+DECODED = ((1, "她用Python写作", "她 用 python 写 作", False), (2, "Ｎｏ．９", "no.9", False), (3, "𝔘ber 𠀋", "uber [UNK]", True))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,10 +82,9 @@ def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("l_orderkey", label.alias("label"), start.alias("start"), (start + F.col("l_quantity").cast("int") % 7).alias("end"), "l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("place"))
 
 
-def _collected(rows: DataFrame, condition: Column | None = None) -> DataFrame:
+def _collected(rows: DataFrame) -> DataFrame:
     """An array of an order's spans, in order of place."""
-    own = F.struct("place", "label", "start", "end")
-    listed = F.sort_array(F.collect_list(own if condition is None else F.when(condition, own)))
+    listed = F.sort_array(F.collect_list(F.struct("place", "label", "start", "end")))
     return rows.groupBy("l_orderkey").agg(F.transform(listed, lambda s: spans.span(s["label"], s["start"], s["end"])).alias("spans"))
 
 
@@ -150,20 +157,22 @@ def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir).select("id", language.script_counts(F.col("text")).alias("n")).select("id", *[F.col(f"n.{s}").alias(s.lower()) for s in language.SCRIPTS])
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts above under negative ids, and all documents."""
     texts = spark.createDataFrame(ROUTED, "id bigint, text string").select((-F.col("id")).alias("id"), "text")
-    every = texts.union(_documents(spark, sf_dir))
-    return every.select("id", language.script_counts(F.col("text")).alias("n")).select("id", *[F.col(f"n.{s}").alias(s.lower()) for s in language.SCRIPTS])
+    return texts.union(_documents(spark, sf_dir))
 
 
 def simp_trad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.createDataFrame(ROUTED, "id bigint, text string")
-    return texts.select("id", language.form_counts(F.col("text")).alias("n")).select("id", "n.*")
+    return _routed(spark, sf_dir).select("id", language.form_counts(F.col("text")).alias("n")).select("id", "n.*")
 
 
 def route_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.createDataFrame(ROUTED, "id bigint, text string").select((-F.col("id")).alias("id"), "text")
-    every = texts.union(_documents(spark, sf_dir))
-    return every.select("id", language.detect_language(F.col("text"), LANGUAGES, "").alias("detected"), language.route(F.col("text"), LANGUAGES, "").alias("routed"))
+    found = _routed(spark, sf_dir).select("id", language.detect_language(F.col("text"), LANGUAGES, "").alias("detected"))
+    return found.withColumn("routed", language.routed(F.col("detected"), LANGUAGES))
 
 
 def auto_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,10 +257,13 @@ def span_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _two_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """l_orderkey, regex and ner spans: line items of return flag A, and the others."""
-    rows = line_spans(spark, sf_dir)
-    regex = _collected(rows, F.col("l_returnflag") == "A").withColumnRenamed("spans", "regex")
-    ner = _collected(rows, F.col("l_returnflag") != "A").withColumnRenamed("spans", "ner")
-    return regex.join(ner, "l_orderkey")
+    own = F.sort_array(F.collect_list(F.struct("place", "label", "start", "end", "l_returnflag")))
+    grouped = line_spans(spark, sf_dir).groupBy("l_orderkey").agg(own.alias("every"))
+
+    def of(flag: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter("every", lambda s: flag(s["l_returnflag"])), lambda s: spans.span(s["label"], s["start"], s["end"]))
+
+    return grouped.select("l_orderkey", of(lambda f: f == "A").alias("regex"), of(lambda f: f != "A").alias("ner"))
 
 
 def ner_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +273,7 @@ def ner_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _two_sets(spark, sf_dir)
-    return _rows(both.withColumn("s", spans.merge_union(F.col("regex"), F.col("ner"))), "l_orderkey", "s")
+    return _rows(spans.merge_union(both, F.col("regex"), F.col("ner"), "s"), "l_orderkey", "s")
 
 
 def hybrid_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,16 +336,36 @@ def focal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nfkc_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "０９０ １２３", ["[CLS]", "09", "##0", "123", "[SEP]"]), (2, "㍿テスト", ["株式", "##会社", "テスト", "none"])]
-    texts = spark.createDataFrame(rows, "id bigint, text string, tokens array<string>")
-    found = texts.select("id", F.posexplode(pytext.reconstructed_offsets(F.col("text"), F.col("tokens"))).alias("place", "o"))
-    return found.select("id", "place", "o.s", "o.e")
+    """Number and sums of the offsets of a text's pieces: those above, and the words of
+    every document, which its normal form has at the same places."""
+    rows = [(-i, text, list(tokens)) for i, text, tokens, _ in PIECES]
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    texts = spark.createDataFrame(rows, "id bigint, text string, tokens array<string>").union(_documents(spark, sf_dir).select("doc_id", "text", words))
+    found = texts.select("id", pytext.reconstructed_offsets(F.col("text"), F.col("tokens")).alias("o"))
+
+    def total(of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.transform("o", of), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return found.select("id", F.size("o").alias("n"), total(lambda o: o["s"]).alias("starts"), total(lambda o: o["e"]).alias("ends"), F.coalesce(F.array_max("o.e"), F.lit(0)).alias("last"))
 
 
 def decode_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "我在Kakao联系他", "我 在 kakao 联 系 他"), (2, "ＡＢＣ１２３", "abc123"), (3, "我叫𠮷田", "我 叫 [UNK] 田")]
-    texts = spark.createDataFrame(rows, "id bigint, text string, decoded string")
-    return texts.select("id", pytext.decode_mismatch(F.col("text"), F.col("decoded")).alias("mismatch"))
+    """The cases above, and every document against a decoded form: in lower case, without
+    blanks, or with a character more."""
+    texts = spark.createDataFrame([(-i, text, decoded) for i, text, decoded, _ in DECODED], "id bigint, text string, decoded string")
+    turn = F.col("doc_id") % 3
+    decoded = F.when(turn == 0, F.lower("text")).when(turn == 1, F.replace("text", F.lit(" "), F.lit(""))).otherwise(F.concat("text", F.lit("x")))
+    every = texts.union(_documents(spark, sf_dir).select("doc_id", "text", decoded))
+    return every.select("id", pytext.decode_mismatch(F.col("text"), F.col("decoded")).alias("mismatch"))
+
+
+def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine's scores on records that are written as JSON lines and read again: the
+    rules against a gold standard of emails and phone numbers."""
+    gold = _documents(spark, sf_dir).select("text", spans.regex_spans(F.col("text"), (RULES[1], RULES[3])).alias("spans")).filter("text is not null")
+    folder = f"{streaming.shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    gold.write.json(folder)
+    return evaluate.evaluate(RedactionEngine(RULES), eval_records(spark, folder))[1]
 
 
 def arrow_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,8 +376,7 @@ def arrow_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as a stream, redacted, written and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{streaming.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     docs = streaming.table_stream(spark, sf_dir, "documents.parquet").select("doc_id", "text")
     redacted = RedactionEngine(RULES).redact(docs).select("doc_id", "redacted_text", "span_count")
     streaming.write_stream(redacted, f"{folder}/out", f"{folder}/state").awaitTermination()
@@ -365,6 +396,6 @@ QUERIES = {
         regex_spans, greedy_priority, arrow_spans, luhn_gate, verify_fail_open, rrn_gate, redact_typed, redact_generic, redact_entity_filter, redact_conversations,
         result_json, highlight_plain, label_summary, script_counts, simp_trad, route_language, auto_redact, label_space, transition_matrix, effective_biases, viterbi_path,
         viterbi_path_native, bioes_encode, bioes_decode, valid_bioes, coalesce_spans, stopword_filter, span_trim, ner_precedence, merge_union, hybrid_redact, label_remap,
-        eval_typed, eval_untyped, eval_source_recall, train_label_ids, pad_batches, focal_loss, nfkc_offsets, decode_mismatch, stream_redact, latest_spans,
+        eval_typed, eval_untyped, eval_source_recall, train_label_ids, pad_batches, focal_loss, nfkc_offsets, decode_mismatch, eval_run, stream_redact, latest_spans,
     )
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from importlib.metadata import entry_points
 from importlib.resources import files
@@ -27,29 +27,42 @@ def _entries(data, key: str) -> list[dict]:
     return [x for x in ((data or {}).get(key) or []) if isinstance(x, dict)]
 
 
+def _count(x) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool) and x >= 1
+
+
+#: Fields of an entry by section: what stands for a missing one, and what it must be.
+_FIELDS = {
+    "ner_precedence": {"label": (None, _text), "over": (None, lambda x: isinstance(x, list))},
+    "span_trim": {
+        "label": (None, _text),
+        "after": ("", lambda x: isinstance(x, str)),
+        "suffixes": (None, lambda x: isinstance(x, list)),
+        "min_keep": (1, _count),
+    },
+}
+
+
+def _well_formed(data: Mapping | None, section: str) -> Iterator[dict]:
+    """The fields of the entries of a section that are as they must be."""
+    fields = _FIELDS[section]
+    for entry in _entries(data, section):
+        found = {name: entry.get(name, missing) for name, (missing, _) in fields.items()}
+        if all(check(found[name]) for name, (_, check) in fields.items()):
+            yield found
+
+
 def parse_ner_precedence(data: Mapping | None) -> tuple[NerPrecedence, ...]:
-    """Well-formed ``ner_precedence`` entries; others are left out."""
-    found = []
-    for entry in _entries(data, "ner_precedence"):
-        label, over = entry.get("label"), entry.get("over")
-        if _text(label) and isinstance(over, list):
-            beaten = tuple(x for x in over if _text(x) and x != label)
-            if beaten:
-                found.append(NerPrecedence(label, beaten))
-    return tuple(found)
+    """Well-formed ``ner_precedence`` entries that beat another label."""
+    beaten = [(x["label"], tuple(filter(_text, x["over"]))) for x in _well_formed(data, "ner_precedence")]
+    others = [(label, tuple(o for o in over if o != label)) for label, over in beaten]
+    return tuple(NerPrecedence(label, over) for label, over in others if over)
 
 
 def parse_span_trims(data: Mapping | None) -> tuple[SpanTrim, ...]:
     """Well-formed ``span_trim`` entries; a rule without an anchor keeps 2 or more."""
-    found = []
-    for entry in _entries(data, "span_trim"):
-        label, after, least, suffixes = (entry.get(k, d) for k, d in (("label", None), ("after", ""), ("min_keep", 1), ("suffixes", None)))
-        counted = isinstance(least, int) and not isinstance(least, bool) and least >= (1 if after else 2)
-        if _text(label) and isinstance(after, str) and counted and isinstance(suffixes, list):
-            known = tuple(x for x in suffixes if _text(x))
-            if known:
-                found.append(SpanTrim(label, after, known, least))
-    return tuple(found)
+    read = [(x, tuple(filter(_text, x["suffixes"]))) for x in _well_formed(data, "span_trim")]
+    return tuple(SpanTrim(x["label"], x["after"], own, x["min_keep"]) for x, own in read if own and (x["after"] or x["min_keep"] > 1))
 
 
 def parse_stopwords(data: Mapping | None) -> frozenset[str]:

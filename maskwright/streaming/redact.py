@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one of this machine
+    only where it is unset and Spark runs on this machine alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="maskwright-")
+
+
 def text_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     """A stream of a folder's text lines (text); blank lines are skipped."""
     return spark.readStream.options(**options).text(path).select(F.col("value").alias("text")).filter(F.length("text") > 0)

@@ -1,10 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import bioes, pytext
+from maskwright.plans import queries
 
 LABELS = bioes.label_list()
 OFFSETS = "array<struct<s: int, e: int>>"
@@ -148,12 +150,23 @@ def test_tag_parts(spark):
 
 
 def test_decode_mismatch(spark):
-    rows = [("我在Kakao联系他", "我 在 kakao 联 系 他", False), ("ＡＢＣ１２３", "abc123", False), ("我叫𠮷田", "我 叫 [UNK] 田", True)]
+    rows = [("她用Python写作", "她 用 python 写 作", False), ("Ｎｏ．９", "no.9", False), ("𝔘ber 𠀋", "uber [UNK]", True), (None, "x", None)]
     df = spark.createDataFrame(rows, "a string, b string, x boolean")
     assert all(r.x == r.y for r in df.select("x", pytext.decode_mismatch(F.col("a"), F.col("b")).alias("y")).collect())
 
 
 def test_offsets_of_word_pieces():
     special = frozenset(["[CLS]"])
-    found = pytext.token_offsets("０９０ ㍿", ["[CLS]", "09", "##0", "株式", "zz", "##会社"], special)
-    assert [(o["s"], o["e"]) for o in found] == [(0, 0), (0, 2), (2, 3), (4, 5), (0, 0), (4, 5)]
+    for _, text, tokens, offsets in queries.PIECES:
+        assert [(o["s"], o["e"]) for o in pytext.token_offsets(text, tokens, special | {"[SEP]"})] == list(offsets)
+    assert pytext.token_offsets("", ["a"], special) == [{"s": 0, "e": 0}] and pytext.token_offsets("a", [], special) == []
+
+
+def test_long_rows_take_linear_time(spark):
+    n = 4000
+    tags = [("B-A", "I-A", "E-A", "O")[k % 4] for k in range(n)]
+    offsets = [(3 * k + 1, 3 * k + 3) for k in range(n)]
+    df = spark.createDataFrame([(tags, offsets)], f"t array<string>, o {OFFSETS}")
+    began = time.perf_counter()
+    row = df.withColumn("d", bioes.decode(F.col("t"), F.col("o"))).withColumn("e", bioes.encode(F.col("d"), F.col("o"))).first()
+    assert len(row.d) == n // 4 and row.e == tags and time.perf_counter() - began < 20

@@ -12,26 +12,27 @@ ALL, ZH = ["ko", "en", "ja", "zh"], ["zh-Hans", "zh-Hant", "en", "ko"]
 @pytest.mark.parametrize(
     ("text", "available", "expected"),
     [
-        ("홍길동 010-1234-5678", ALL, "ko"),
-        ("John Smith 555-123-4567", ALL, "en"),
-        ("山田たろう です", ALL, "ja"),
-        ("张伟在北京", ALL, "zh"),
-        ("张伟在北京", ["zh", "en"], "zh"),
-        ("홍길동", ["en"], "en"),
-        ("홍길동", ["en", "ja"], None),
-        ("12345 !!!", ["en", "ja"], None),
-        ("홍길동 010-1234-5678 a@b.com", ["ko", "en"], "ko"),
-        ("Meet John at 555-123-4567 tomorrow", ["ko", "en"], "en"),
+        ("박서준 고객 77-20", ALL, "ko"),
+        ("Ada Lovelace 12 notes", ALL, "en"),
+        ("佐藤さん は 元気", ALL, "ja"),
+        ("学习时间", ALL, "zh"),
+        ("学习时间", ["zh", "en"], "zh"),
+        ("서울", ["en"], "en"),
+        ("서울", ["en", "ja"], None),
+        ("2024/05 ???", ["en", "ja"], None),
+        ("서울 12 office@c.org", ["ko", "en"], "ko"),
+        ("Oslo at 12 tomorrow", ["ko", "en"], "en"),
+        ("Übermäßig größer", ["ko", "en"], "en"),
         ("", ["ko"], "ko"),
         ("   ", ["ko"], "ko"),
-        ("@@@ ###", ["ko"], "ko"),
-        ("张伟说这个国家很现代", ZH, "zh-Hans"),
-        ("广州市浦东新区，电话13812345678", ZH, "zh-Hans"),
-        ("張偉說這個國家很現代", ZH, "zh-Hant"),
-        ("臺北市中正區，電話0912345678", ZH, "zh-Hant"),
-        ("中文", ZH, "zh-Hans"),
-        ("張偉", ["zh-Hans", "en"], "zh-Hans"),
-        ("张伟", ["zh-Hant", "en"], "zh-Hant"),
+        ("... !!", ["ko"], "ko"),
+        ("这里的学习时间还不够", ZH, "zh-Hans"),
+        ("电话 12 个", ZH, "zh-Hans"),
+        ("這裡的學習時間還不夠", ZH, "zh-Hant"),
+        ("電話 12 個", ZH, "zh-Hant"),
+        ("山水", ZH, "zh-Hans"),
+        ("電話", ["zh-Hans", "en"], "zh-Hans"),
+        ("电话", ["zh-Hant", "en"], "zh-Hant"),
         (None, ALL, None),
     ],
 )
