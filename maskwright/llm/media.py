@@ -1,13 +1,27 @@
 """Media columns: texts as lossless WebP images, and images as pixel arrays.
 
 ``stored`` turns each text's UTF-8 bytes, padded with zero bytes to a positive
-multiple of 64, into an image with four bytes a pixel; ``read_back`` decodes media and
-computes features of the pixels; ``pixel_arrays`` decodes any lossless WebP column.
+multiple of 64, into an image with a byte a pixel, or two; ``read_back`` decodes media
+and computes features of the pixels; ``pixel_arrays`` decodes any lossless WebP column.
 Rows are independent: there is no shuffle, and a task holds a batch of rows.
 
-A null or empty text is 64 zero bytes. Media that are null or not lossless WebP give
-null pixels and features rather than an error. A text may have up to 2**30 bytes.
-Repeated rows give equal values. Columns other than those named are not read.
+Images are written with prefix codes fitted to their pixels, and by their bytes alone:
+
+* of at most 16 values: a palette, which puts several pixels into one;
+* of which half or more equal the byte before or the byte a row above: that predictor;
+* long and without long repeats: two bytes a pixel, and a colour cache that pairs which
+  occur again are read from;
+* all others: one byte a pixel.
+
+All but the third have back-references for stretches that occur again, the last from
+2 kB on. Reading takes
+the general decoder. Cross-colour never shortens images of one or two channels, so it
+is for images that others made.
+
+A null or empty text is 64 zero bytes. Media that are null, damaged or not lossless WebP
+give null pixels and features rather than an error. A text may have up to 2**28 bytes.
+Repeated rows give equal values. Columns other than those named are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,24 +41,53 @@ from maskwright.llm.common import documents_of
 BLOCK = 64
 #: The chunk that holds the payload's length where the last row is padded.
 LENGTH_CHUNK = b"PLEN"
-ROW_PIXELS = BLOCK // 4
+#: The chunk that says that a pixel is two bytes.
+PAIRS_CHUNK = b"PAIR"
+#: Bytes from which pairs of bytes are tried, and bits of their colour cache.
+PAIRS_FROM, PAIR_CACHE = 1 << 14, 10
+#: Bytes from which what occurs again is worth the distances' code.
+COPIES_FROM = 1 << 11
+_OPAQUE = np.uint32(0xFF000000)
+
+
+def options_of(data: np.ndarray) -> tuple[webp.Options, int]:
+    """How to write these bytes, and how many of them are a pixel."""
+    if np.count_nonzero(np.bincount(data, minlength=256)) <= 16:
+        return webp.Options(palette=True, copies=True), 1
+    for mode, back in ((2, BLOCK), (1, 1)):
+        if 2 * np.count_nonzero(data[back:] == data[:-back]) >= len(data):
+            return webp.Options(predictor=mode, copies=True), 1
+    if len(data) >= PAIRS_FROM and sum(x[1] for x in webp.found_copies(data[: PAIRS_FROM].astype(np.uint32))) < PAIRS_FROM // 16:
+        return webp.Options(cache_bits=PAIR_CACHE), 2
+    return webp.Options(copies=len(data) >= COPIES_FROM), 1
 
 
 def media_of(payload: bytes) -> bytes:
     """A WebP file of a payload of a positive multiple of 64 bytes."""
-    rows = len(payload) // BLOCK
-    width = ROW_PIXELS * -(-rows // webp.LONGEST_SIDE)
-    height = -(-len(payload) // (4 * width))
-    pixels = np.frombuffer(payload.ljust(4 * width * height, b"\0"), "<u4").reshape(height, width)
-    file = webp.encode(pixels)
-    if 4 * width * height != len(payload):
-        file = webp.with_chunk(file, LENGTH_CHUNK, len(payload).to_bytes(8, "little"))
-    return file
+    data = np.frombuffer(payload, np.uint8)
+    options, each = options_of(data)
+    width = BLOCK // each * -(-len(data) // (BLOCK * webp.LONGEST_SIDE))
+    height = -(-len(data) // (each * width))
+    pixels = np.zeros((height * width, each), np.uint32)
+    pixels.reshape(-1)[: len(data)] = data
+    # the last byte of a pixel is its green, the one before its red
+    argb = _OPAQUE | pixels[:, -1] << np.uint32(8)
+    if each == 2:
+        argb |= pixels[:, 0] << np.uint32(16)
+    file = webp.encode(argb.reshape(height, width), options)
+    if each * width * height != len(data):
+        file = webp.with_chunk(file, LENGTH_CHUNK, len(data).to_bytes(8, "little"))
+    return file if each == 1 else webp.with_chunk(file, PAIRS_CHUNK, b"")
 
 
 def payload_of(file: bytes, pixels: np.ndarray) -> bytes:
-    length = next((int.from_bytes(x, "little") for name, x in webp.chunks(file) if name == LENGTH_CHUNK), 4 * pixels.size)
-    return pixels.astype("<u4", copy=False).tobytes()[:length]
+    chunks = dict(webp.chunks(file))
+    flat = pixels.reshape(-1)
+    data = (flat >> np.uint32(8)).astype(np.uint8)
+    if PAIRS_CHUNK in chunks:
+        data = np.stack([(flat >> np.uint32(16)).astype(np.uint8), data], axis=1).reshape(-1)
+    length = int.from_bytes(chunks[LENGTH_CHUNK], "little") if LENGTH_CHUNK in chunks else len(data)
+    return data[:length].tobytes()
 
 
 def feature(pixels: np.ndarray) -> str:

@@ -2,17 +2,23 @@
 
 ``decode`` reads any still lossless image: simple and normal prefix codes, meta
 prefix images, back-references with the 2-D distance map, the colour cache, and the
-predictor, cross-colour, subtract-green and palette transforms. Images whose prefix
-codes all have one length, without copies, are decoded without a loop over pixels.
+predictor, cross-colour, subtract-green and palette transforms. A damaged file is a
+ValueError.
 
-``encode`` writes ARGB pixels with any of the transforms, a colour cache and
-run-length copies on request; by default with codes of one length, for speed.
+An image with one group of prefix codes is decoded without a loop over its symbols.
+What a symbol that began there would be, and where the next began, is looked up for
+every bit of a stretch; following those links from the first bit, sixteen at a time,
+gives the symbols that are there. Copies are then made one by one, and cache hits
+looked up among the literals before them.
+
+``encode`` writes ARGB pixels with fitted prefix codes and, on request, any of the
+transforms, a colour cache and back-references.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 
@@ -33,7 +39,15 @@ CACHE_FACTOR = 0x1E35A7BD
 SIGNATURE = 0x2F
 LONGEST_SIDE = 1 << 14
 
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+LONGEST_CODE, LONGEST_COPY = 15, 4096
+#: Pixels from which an image is worth the set-up of decoding without a loop.
+MANY = 256
+_EIGHT = np.arange(8, dtype=np.uint32)
+_STRETCH = 1 << 19
+_REVERSED = [0]
+for _bit in range(LONGEST_CODE):
+    # the bits of a number of LONGEST_CODE bits in reverse
+    _REVERSED = [*_REVERSED, *[x | 1 << (LONGEST_CODE - 1 - _bit) for x in _REVERSED]]
 
 
 class BitReader:
@@ -49,157 +63,218 @@ class BitReader:
             raise ValueError("the image ends early")
         return value & ((1 << n) - 1)
 
-    def skip(self, value: int, n: int) -> bool:
-        """Whether the next n bits are those of value; if so, they are read."""
-        at = self.at
-        if self.read(n) == value:
-            return True
-        self.at = at
-        return False
+    def peek(self, n: int) -> int:
+        """The next n bits, zeros beyond the end, without reading them."""
+        first, shift = self.at >> 3, self.at & 7
+        return (int.from_bytes(self.data[first : first + (shift + n + 7) // 8], "little") >> shift) & ((1 << n) - 1)
 
 
 class BitWriter:
+    """Bits, first bit lowest; whole bytes move to ``done`` with each long run."""
+
     def __init__(self):
-        self.value, self.n = 0, 0
+        self.done, self.value, self.n = bytearray(), 0, 0
 
     def write(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
 
+    def append(self, data: bytes, n: int) -> None:
+        """n bits of ``data``."""
+        self.value |= int.from_bytes(data, "little") << self.n
+        self.n += n
+        whole = self.n // 8
+        self.done += (self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+        self.value, self.n = self.value >> 8 * whole, self.n - 8 * whole
+
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.n + 7) // 8, "little")
+        return bytes(self.done) + self.value.to_bytes((self.n + 7) // 8, "little")
 
 
 # prefix codes -----------------------------------------------------------------
 
 
 class PrefixCode:
-    """A canonical prefix code, read a bit at a time from the first bit of a code."""
+    """A canonical prefix code; codes are read from their first bit."""
 
     def __init__(self, lengths: list[int]):
         self.lengths = lengths
-        used = [(n, symbol) for symbol, n in enumerate(lengths) if n]
+        used = sorted([(n, symbol) for symbol, n in enumerate(lengths) if n])
+        if not used:
+            raise ValueError("a prefix code is empty")
         self.only = used[0][1] if len(used) == 1 else None
-        self.symbols, self.codes = {}, {}
+        self.longest = used[-1][0]
+        self.codes: dict[int, tuple[int, int]] = {}
         code, last = 0, 0
-        for n, symbol in sorted(used):
+        for n, symbol in used:
             code <<= n - last
-            self.symbols[(n, code)] = symbol
-            self.codes[symbol] = (int(f"{code:0{n}b}"[::-1], 2), n)
+            if code >> n:
+                raise ValueError("a prefix code has too many codes")
+            self.codes[symbol] = (_REVERSED[code] >> (LONGEST_CODE - n), n)
             code, last = code + 1, n
         if len(used) > 1 and code != 1 << last:
             raise ValueError("a prefix code is not complete")
-        if not used:
-            raise ValueError("a prefix code is empty")
+        self._table: np.ndarray | None = None
+        self._list: list[int] | None = None
+
+    @property
+    def table(self) -> np.ndarray:
+        """symbol << 4 | length for each value of the next ``longest`` bits."""
+        if self._table is None:
+            self._table = np.zeros(1 << self.longest, np.int64)
+            for symbol, (code, n) in self.codes.items():
+                self._table[code :: 1 << n] = symbol << 4 | n
+        return self._table
+
+    @property
+    def listed(self) -> list[int]:
+        if self._list is None:
+            self._list = self.table.tolist()
+        return self._list
 
     def read(self, bits: BitReader) -> int:
         if self.only is not None:
             return self.only
-        code = n = 0
-        while n < 15:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (symbol := self.symbols.get((n, code))) is not None:
-                return symbol
-        raise ValueError("no such prefix code")
+        found = self.listed[bits.peek(self.longest)]
+        bits.read(found & 15)
+        return found >> 4
 
     def write(self, out: BitWriter, symbol: int) -> None:
         if self.only is None:
             out.write(*self.codes[symbol])
 
 
+@lru_cache(4096)
+def single(size: int, symbol: int) -> PrefixCode:
+    """The code of one symbol, which takes no bits."""
+    return PrefixCode([int(k == symbol) for k in range(size)])
+
+
+@lru_cache(256)
+def _shared(lengths: tuple[int, ...]) -> PrefixCode:
+    """The code of code lengths, which many files have alike."""
+    return PrefixCode(list(lengths))
+
+
 def read_code(bits: BitReader, size: int) -> PrefixCode:
-    lengths = [0] * size
     if bits.read(1):
-        two = bits.read(1)
-        first = bits.read(8 if bits.read(1) else 1)
-        lengths[first] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        head = bits.peek(18)
+        wide = head >> 1 & 1
+        first = head >> 2 & (255 if wide else 1)
+        bits.at += 10 if wide else 3
+        if not head & 1:
+            return single(size, first)
+        lengths = [0] * size
+        lengths[first] = lengths[bits.read(8)] = 1
         return PrefixCode(lengths)
-    own = [0] * 19
-    for k in range(4 + bits.read(4)):
-        own[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    code = PrefixCode(own)
+    many = 4 + bits.read(4)
+    each, own = bits.read(3 * many), [0] * 19
+    for k in range(many):
+        own[CODE_LENGTH_ORDER[k]] = each >> 3 * k & 7
+    code = _shared(tuple(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    symbol, last = 0, 8
-    while symbol < size and left > 0:
+    lengths = []
+    last, only, mask = 8, code.only, (1 << code.longest) - 1
+    table = None if only is not None else code.listed
+    # a length takes 7 bits and 7 more at most; they are read from one number, some at a time
+    ahead = known = taken = 0
+    while len(lengths) < size and left > 0:
         left -= 1
-        n = code.read(bits)
+        if known < 14:
+            bits.at += taken
+            taken, known = 0, 1024
+            ahead = bits.peek(known)
+        n, used = only, 0
+        if n is None:
+            found = table[ahead & mask]
+            n, used = found >> 4, found & 15
         if n < 16:
-            lengths[symbol] = n
-            last, symbol = n or last, symbol + 1
-            continue
-        value, times = (last, 3 + bits.read(2)) if n == 16 else (0, 3 + bits.read(3)) if n == 17 else (0, 11 + bits.read(7))
-        if symbol + times > size:
-            raise ValueError("code lengths run over")
-        lengths[symbol : symbol + times] = [value] * times
-        symbol += times
-    return PrefixCode(lengths)
-
-
-def limited_lengths(counts: list[int], most: int = 15) -> list[int]:
+            lengths.append(n)
+            last = n or last
+        else:
+            more = (2, 3, 7)[n - 16]
+            times = (ahead >> used & (1 << more) - 1) + (11 if n == 18 else 3)
+            used += more
+            lengths += [last if n == 16 else 0] * times
+        ahead >>= used
+        known -= used
+        taken += used
+    bits.at += taken
+    bits.read(0)
+    if len(lengths) > size:
+        raise ValueError("code lengths run over")
+    return PrefixCode(lengths + [0] * (size - len(lengths)))
+
+
+def limited_lengths(counts: list[int], most: int = LONGEST_CODE) -> list[int]:
     """Prefix code lengths for symbol counts, none above ``most``."""
-    import heapq
-
     used = [i for i, n in enumerate(counts) if n]
     lengths = [0] * len(counts)
     if len(used) <= 1:
         lengths[used[0] if used else 0] = 1
         return lengths
-    floor = 0
+    floor, total = 0, sum(counts)
     while True:
-        heap = [(max(counts[i], floor), k, (i,)) for k, i in enumerate(used)]
-        heapq.heapify(heap)
-        depth, fresh = dict.fromkeys(used, 0), len(used)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for i in a[2] + b[2]:
-                depth[i] += 1
-            heapq.heappush(heap, (a[0] + b[0], fresh, a[2] + b[2]))
-            fresh += 1
-        if max(depth.values()) <= most:
-            for i, n in depth.items():
-                lengths[i] = n
+        # leaves in order of weight, and inner nodes, which are made in that order
+        weights = sorted((max(counts[i], floor), i) for i in used)
+        n = len(weights)
+        weight = [w for w, _ in weights]
+        parent = [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for fresh in range(n, 2 * n - 1):
+            both = 0
+            for _ in range(2):
+                if inner >= fresh or (leaf < n and weight[leaf] <= weight[inner]):
+                    node, leaf = leaf, leaf + 1
+                else:
+                    node, inner = inner, inner + 1
+                parent[node] = fresh
+                both += weight[node]
+            weight.append(both)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth[:n]) <= most:
+            for k, (_, i) in enumerate(weights):
+                lengths[i] = depth[k]
             return lengths
-        floor = max(2 * floor, 1 + sum(counts) // 4096)
+        floor = max(2 * floor, 1 + total // 4096)
+
+
+#: The code that code lengths are written in, by length, and 17 and 18 for runs of zeros:
+#: made for what text has. Lengths of 15 are not written.
+_LENGTH_CODE = (4, 7, 7, 4, 4, 3, 3, 3, 3, 4, 4, 5, 5, 7, 7, 0, 0, 4, 5)
 
 
 def write_code(out: BitWriter, lengths: list[int]) -> PrefixCode:
     """Write a code's lengths, with zero runs, and give the code."""
+    used = [k for k, n in enumerate(lengths) if n]
+    if len(used) == 1 and used[0] < 256:
+        out.write(1 | 1 << 2 | used[0] << 3, 11)
+        return single(len(lengths), used[0])
     code = PrefixCode(lengths)
-    if code.only is not None and code.only < 256:
-        out.write(1, 1)
-        out.write(0, 1)
-        out.write(1, 1)
-        out.write(code.only, 8)
-        return code
-    items, i = [], 0
-    while i < len(lengths):
-        run = i
-        while run < len(lengths) and lengths[run] == 0 and run - i < 138:
-            run += 1
-        if run - i >= 11:
-            items.append((18, run - i - 11, 7))
-            i = run
-        elif run - i >= 3:
-            items.append((17, run - i - 3, 3))
-            i = run
-        else:
-            items.append((lengths[i], 0, 0))
-            i += 1
-    counts = [0] * 19
-    for symbol, _, _ in items:
-        counts[symbol] += 1
-    own_lengths = limited_lengths(counts, 7)
-    own = PrefixCode(own_lengths)
-    out.write(0, 1)
-    out.write(15, 4)
-    for symbol in CODE_LENGTH_ORDER:
-        out.write(own_lengths[symbol], 3)
+    items, last = [], -1
+    for k in [*used, len(lengths)]:
+        gap = k - last - 1
+        while gap >= 3:
+            run = min(gap, 138)
+            items.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
+            gap -= run
+        items += [(0, 0, 0)] * gap
+        if k < len(lengths):
+            items.append((lengths[k], 0, 0))
+        last = k
+    own = _shared(_LENGTH_CODE)
+    out.write(15 << 1, 5)
+    out.write(sum(_LENGTH_CODE[symbol] << 3 * k for k, symbol in enumerate(CODE_LENGTH_ORDER)), 57)
     out.write(0, 1)
-    for symbol, extra, n in items:
-        own.write(out, symbol)
-        out.write(extra, n)
+    codes = own.codes
+    value = n = 0
+    for symbol, extra, more in items:
+        bits, length = codes[symbol]
+        value |= (bits | extra << length) << n
+        n += length + more
+    out.write(value, n)
     return code
 
 
@@ -234,26 +309,8 @@ def _distance(code: int, width: int) -> int:
     return max(1, dx + dy * width)
 
 
-def _even(codes: list[PrefixCode]) -> bool:
-    """Whether green, red, blue and alpha codes all are the plain 8-bit ones."""
-    return all(len(c.lengths) >= 256 and set(c.lengths[:256]) == {8} and not any(c.lengths[256:]) for c in codes[:4])
-
-
-@cache
-def _plain_codes() -> tuple[int, int]:
-    """The bits, and their number, of: no cache, no meta image, codes of 8 bits."""
-    out = BitWriter()
-    out.write(0, 2)
-    for size in (280, 256, 256, 256):
-        write_code(out, [8] * 256 + [0] * (size - 256))
-    write_code(out, [1] + [0] * 39)
-    return out.value, out.n
-
-
 def read_image(bits: BitReader, width: int, height: int, top: bool) -> np.ndarray:
     """The ARGB pixels of an entropy-coded image, as uint32 of height * width."""
-    if top and bits.skip(*_plain_codes()):
-        return _read_even(bits, width * height)
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -266,8 +323,8 @@ def read_image(bits: BitReader, width: int, height: int, top: bool) -> np.ndarra
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
     n = width * height
-    if groups == 1 and _even(codes[0]):
-        return _read_even(bits, n)
+    if groups == 1 and n >= MANY:
+        return _read_many(bits, codes[0], width, n, cache_bits)
     out = np.zeros(n, np.uint32)
     colours = [0] * (1 << cache_bits)
     i, cached = 0, 0
@@ -301,29 +358,254 @@ def read_image(bits: BitReader, width: int, height: int, top: bool) -> np.ndarra
     return out
 
 
-def _read_even(bits: BitReader, n: int) -> np.ndarray:
-    first, shift = bits.at >> 3, bits.at & 7
-    raw = np.frombuffer(bits.data, np.uint8, min(4 * n + 1, len(bits.data) - first), first)
-    if len(raw) < 4 * n + (shift > 0):
+def _extra_bits(symbol: np.ndarray) -> np.ndarray:
+    return np.maximum(symbol - 2, 0) >> 1
+
+
+def _values(symbol: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Lengths or distances of prefix symbols and their extra bits."""
+    return np.where(symbol < 4, symbol + 1, (2 + (symbol & 1) << _extra_bits(symbol)) + extra + 1)
+
+
+class _Stretch:
+    """The bits of a stretch of an image's data, and what begins at each of them."""
+
+    #: A symbol with its extra bits and its distance takes no more bits.
+    SLACK = 128
+
+    def __init__(self, data: bytes, at: int, codes: list[PrefixCode]):
+        first = at >> 3
+        own = np.frombuffer(data, np.uint8, min(_STRETCH // 8 + self.SLACK // 8 + 1, len(data) - first), first)
+        self.first, self.n = 8 * first, 8 * len(own)
+        padded = np.zeros(len(own) + 4, np.uint32)
+        padded[: len(own)] = own
+        words = padded[:-3] | padded[1:-2] << np.uint32(8) | padded[2:-1] << np.uint32(16) | padded[3:] << np.uint32(24)
+        # 25 bits or more from each bit on; one place beyond the end leads nowhere
+        self.ahead = (words[:, None] >> _EIGHT).reshape(-1)[: self.n + 1].astype(np.int64)
+        self.codes = codes
+        self.green = self.found(0)
+        after = np.arange(self.n + 1) + (self.green & 15)
+        following = after
+        for k in (1, 2, 3):
+            if codes[k].only is None:
+                following = self.clipped(following)
+                following = following + (self.found(k) & 15).take(following)
+        if any(codes[0].lengths[256:]):
+            symbol = self.green >> 4
+            following = following.copy() if following is after else following
+            copies = np.flatnonzero((symbol >= 256) & (symbol < 280))
+            ends = self.clipped(after[copies] + _extra_bits(symbol[copies] - 256))
+            distance = self.found(4)[ends]
+            following[copies] = ends + (distance & 15) + _extra_bits(distance >> 4)
+            cached = np.flatnonzero(symbol >= 280)
+            following[cached] = after[cached]
+        self.next = self.clipped(following)
+
+    def clipped(self, places: np.ndarray) -> np.ndarray:
+        return np.minimum(places, self.n)
+
+    def found(self, k: int) -> np.ndarray:
+        """symbol << 4 | bits of the k-th code at every bit."""
+        code = self.codes[k]
+        if code.only is not None:
+            return np.full(self.n + 1, code.only << 4)
+        return code.table.take(self.ahead & ((1 << code.longest) - 1))
+
+    def symbols(self, at: int, end: int) -> np.ndarray:
+        """The places of the symbols from ``at`` on that begin before ``end``."""
+        hops = [self.next]
+        for _ in range(4):
+            hops.append(hops[-1].take(hops[-1]))
+        far, place, stops = memoryview(hops[4]), at - self.first, []
+        end = min(end - self.first, self.n)
+        while place < end:
+            stops.append(place)
+            place = far[place]
+        places = np.array(stops)
+        for hop in hops[3::-1]:
+            both = np.empty((len(places), 2), np.int64)
+            both[:, 0], both[:, 1] = places, hop.take(places)
+            places = both.reshape(-1)
+        return places[places < end]
+
+    def bits(self, places: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The n bits (25 at most) at each of the places."""
+        return self.ahead[places] & ((1 << n) - 1)
+
+
+def _read_many(bits: BitReader, codes: list[PrefixCode], width: int, n: int, cache_bits: int) -> np.ndarray:
+    if all(c.only is not None for c in codes[:4]) and codes[0].only < 256:
+        pixel = codes[3].only << 24 | codes[1].only << 16 | codes[0].only << 8 | codes[2].only
+        return np.full(n, pixel, np.uint32)
+    if codes[0].only is not None and codes[0].only >= 256:
+        raise ValueError("an image begins with a copy")
+    # by symbol: its green, its pixels, the colour of a literal, the distance of a copy
+    greens, sizes, colours, backs = [], [], [], []
+    total = 0
+    while total < n:
+        if bits.at >= 8 * len(bits.data):
+            raise ValueError("the image ends early")
+        part = _Stretch(bits.data, bits.at, codes)
+        places = part.symbols(bits.at, part.first + min(_STRETCH, part.n))
+        found = part.green[places]
+        green = found >> 4
+        after = places + (found & 15)
+        size = np.ones(len(places), np.int64)
+        back = np.zeros(len(places), np.int64)
+        colour = green.astype(np.uint32) << np.uint32(8)
+        literal = green < 256
+        at = after
+        for k, shift in ((1, 16), (2, 0), (3, 24)):
+            if codes[k].only is not None:
+                colour |= np.uint32(codes[k].only << shift)
+                continue
+            at = part.clipped(at)
+            channel = part.found(k).take(at)
+            colour |= (channel >> 4).astype(np.uint32) << np.uint32(shift)
+            at = at + (channel & 15)
+        copy = np.flatnonzero(~literal & (green < 280))
+        if len(copy):
+            symbol, place = green[copy] - 256, part.clipped(after[copy])
+            size[copy] = _values(symbol, part.bits(place, _extra_bits(symbol)))
+            place = part.clipped(place + _extra_bits(symbol))
+            distance = part.found(4)[place]
+            place = part.clipped(place + (distance & 15))
+            code = _values(distance >> 4, part.bits(place, _extra_bits(distance >> 4)))
+            back[copy] = [_distance(x, width) for x in code.tolist()]
+        ends = np.cumsum(size) + total
+        used = int(np.searchsorted(ends, n)) + 1
+        if used <= len(ends) and ends[used - 1] > n:
+            raise ValueError("a copy leaves the image")
+        used = min(used, len(ends))
+        bits.at = part.first + int(part.next[places[used - 1]])
+        total = int(ends[used - 1])
+        greens.append(green[:used])
+        sizes.append(size[:used])
+        colours.append(colour[:used])
+        backs.append(back[:used])
+    if bits.at > 8 * len(bits.data):
         raise ValueError("the image ends early")
-    own = raw[: 4 * n] if not shift else raw[: 4 * n] >> np.uint8(shift) | raw[1 : 4 * n + 1] << np.uint8(8 - shift)
-    bits.at += 32 * n
-    grba = _REVERSED[own].reshape(n, 4)
-    return np.ascontiguousarray(grba[:, [2, 0, 1, 3]]).view("<u4").reshape(n).astype(np.uint32, copy=False)
-
-
-def _write_even(out: BitWriter, argb: np.ndarray) -> bytes:
-    """The image's bytes, with all that ``out`` holds before them."""
-    bgra = np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(-1, 4)
-    own = _REVERSED[bgra[:, [1, 2, 0, 3]].reshape(-1)]
-    shift, head = out.n & 7, out.bytes()
-    if not shift:
-        return head + own.tobytes()
-    tail = np.zeros(len(own) + 1, np.uint8)
-    tail[:-1] = own << np.uint8(shift)
-    tail[1:] |= own >> np.uint8(8 - shift)
-    tail[0] |= head[-1]
-    return head[:-1] + tail.tobytes()
+    return _laid(np.concatenate(greens), np.concatenate(sizes), np.concatenate(colours), np.concatenate(backs), cache_bits, n)
+
+
+def _laid(green: np.ndarray, size: np.ndarray, colour: np.ndarray, back: np.ndarray, cache_bits: int, n: int) -> np.ndarray:
+    """The pixels of symbols: literals, copies and cache hits."""
+    copies, hits = np.flatnonzero(back), np.flatnonzero(green >= 280)
+    place = np.cumsum(size) - size if len(copies) else size
+    if (back[copies] > place[copies]).any():
+        raise ValueError("a copy leaves the image")
+    if len(hits) and len(copies):
+        return _laid_in_turn(green, size, colour, back, cache_bits, n)
+    if len(hits):
+        # the slot that each symbol fills or reads; a hit has the colour of the last literal there
+        slot = np.where(green < 280, ((colour * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64), green - 280)
+        order = np.argsort(slot, kind="stable")
+        known = green[order] < 280
+        last = np.maximum.accumulate(np.where(known, np.arange(len(order)), -1))
+        source = np.where(last >= 0, order[last], -1)
+        missing = (source < 0) | (slot[source] != slot[order])
+        filled = np.where(missing, np.uint32(0), colour[source])
+        out = np.empty(len(order), np.uint32)
+        out[order] = filled
+        return out
+    if not len(copies):
+        return colour
+    out = np.zeros(n, np.uint32)
+    literal = back == 0
+    out[place[literal]] = colour[literal]
+    for a, length, distance in zip(place[copies].tolist(), size[copies].tolist(), back[copies].tolist(), strict=True):
+        if distance >= length:
+            out[a : a + length] = out[a - distance : a - distance + length]
+        else:
+            out[a : a + length] = np.resize(out[a - distance : a], length)
+    return out
+
+
+def _laid_in_turn(green: np.ndarray, size: np.ndarray, colour: np.ndarray, back: np.ndarray, cache_bits: int, n: int) -> np.ndarray:
+    """The same where copies fill the cache that hits read."""
+    out, slots, filled = [], [0] * (1 << cache_bits), 0
+    for symbol, length, pixel, distance in zip(green.tolist(), size.tolist(), colour.tolist(), back.tolist(), strict=True):
+        if symbol >= 280:
+            for earlier in out[filled:]:
+                slots[_cache_slot(earlier, cache_bits)] = earlier
+            filled = len(out)
+            out.append(slots[symbol - 280])
+        elif distance:
+            for _ in range(length):
+                out.append(out[-distance])
+        else:
+            out.append(pixel)
+    return np.array(out, np.uint32)
+
+
+def found_copies(argb: np.ndarray, least: int = 12) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of copies of ``least`` pixels or more, in order.
+
+    Runs of one pixel copy the pixel before; other stretches the first that begins
+    with the same pixels. Candidates are found by hashes and compared.
+    """
+    n = len(argb)
+    if n <= least:
+        return []
+    same = np.flatnonzero(argb[1:] == argb[:-1]) + 1
+    runs = _stretches(same, np.ones(len(same), np.int64), 0) if len(same) >= least else []
+    mark = _marks(argb, least)
+    room = max(8, n.bit_length() + 1)
+    key = (mark >> np.uint64(64 - room)).astype(np.int64)
+    first = np.zeros(1 << room, np.int32)
+    place = np.arange(len(mark), dtype=np.int32)
+    first[key[::-1]] = place[::-1]
+    source = first[key]
+    again = np.flatnonzero((mark[source] == mark) & (source < place))
+    found = _stretches(again, again - source[again], least - 1)
+    chosen, done = [], 0
+    for start, length, distance in sorted([r for r in runs if r[1] >= least] + found):
+        if start < done:
+            start, length = done, start + length - done
+        if length >= least and (argb[start : start + length] == argb[start - distance : start - distance + length]).all():
+            chosen += [(start + k, min(LONGEST_COPY, length - k), distance) for k in range(0, length, LONGEST_COPY)]
+            done = start + length
+    return chosen
+
+
+def _marks(argb: np.ndarray, least: int) -> np.ndarray:
+    """A hash of the ``least`` pixels from each place on, by doubling."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    mark, have = (argb.astype(np.uint64) + np.uint64(0x632BE59B)) * odd, 1
+    while have < least:
+        step = min(have, least - have)
+        mark = mark[: len(mark) - step] * odd + (mark[step:] ^ mark[step:] >> np.uint64(29))
+        have += step
+    return mark * odd
+
+
+def _stretches(places: np.ndarray, distance: np.ndarray, more: int) -> list[tuple[int, int, int]]:
+    """(first, length, distance) of runs of places at one distance."""
+    if not len(places):
+        return []
+    fresh = np.ones(len(places), bool)
+    fresh[1:] = (np.diff(places) != 1) | (np.diff(distance) != 0)
+    first = np.flatnonzero(fresh)
+    lengths = np.diff(np.append(first, len(places))) + more
+    return list(zip(places[first].tolist(), lengths.tolist(), distance[first].tolist(), strict=True))
+
+
+def cache_hits(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Whether the cache holds each pixel when it comes, all pixels being put into it."""
+    slot = (argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(argb), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    # an empty slot holds transparent black
+    first = order[np.flatnonzero(np.append(True, slot[order[1:]] != slot[order[:-1]]))]
+    hit[first] = argb[first] == 0
+    return hit
+
+
+def _length_symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_prefixed`` of an array."""
+    three = np.array([_prefixed(x) for x in values.tolist()], np.int64).reshape(-1, 3)
+    return three[:, 0], three[:, 1], three[:, 2]
 
 
 def write_image(out: BitWriter, argb: np.ndarray, width: int, top: bool, cache_bits: int = 0, copies: bool = False) -> None:
@@ -333,48 +615,111 @@ def write_image(out: BitWriter, argb: np.ndarray, width: int, top: bool, cache_b
         out.write(cache_bits, 4)
     if top:
         out.write(0, 1)
-    pixels, n = [int(x) for x in argb], len(argb)
-    items, colours, i = [], {}, 0
-    while i < n:
-        run = 0
-        if copies and i:
-            while i + run < n and run < 4096 and pixels[i + run] == pixels[i + run - 1]:
-                run += 1
-        if run >= 3:
-            # the previous pixel is distance code 2, (1, 0)
-            items.append(("copy", _prefixed(run), _prefixed(2)))
-        elif cache_bits and colours.get(_cache_slot(pixels[i], cache_bits), 0) == pixels[i]:
-            items.append(("cache", _cache_slot(pixels[i], cache_bits)))
-            run = 1
-        else:
-            items.append(("pixel", pixels[i]))
-            run = 1
-        for k in range(i, i + run):
-            if cache_bits:
-                colours[_cache_slot(pixels[k], cache_bits)] = pixels[k]
-        i += run
-    counts = [[0] * n for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
-    for kind, *x in items:
-        if kind == "pixel":
-            for k, value in enumerate((x[0] >> 8 & 255, x[0] >> 16 & 255, x[0] & 255, x[0] >> 24)):
-                counts[k][value] += 1
-        elif kind == "copy":
-            counts[0][256 + x[0][0]] += 1
-            counts[4][x[1][0]] += 1
-        else:
-            counts[0][280 + x[0]] += 1
-    codes = [write_code(out, limited_lengths(c)) for c in counts]
-    for kind, *x in items:
-        if kind == "pixel":
-            for k, value in enumerate((x[0] >> 8 & 255, x[0] >> 16 & 255, x[0] & 255, x[0] >> 24)):
-                codes[k].write(out, value)
-        elif kind == "copy":
-            codes[0].write(out, 256 + x[0][0])
-            out.write(*x[0][1:])
-            codes[4].write(out, x[1][0])
-            out.write(*x[1][1:])
-        else:
-            codes[0].write(out, 280 + x[0])
+    n = len(argb)
+    ranges = found_copies(argb) if copies else []
+    place, is_copy, own = None, np.zeros(n, bool), argb
+    if ranges:
+        kept = np.ones(n, bool)
+        for a, length, _ in ranges:
+            kept[a + 1 : a + length] = False
+        place = np.flatnonzero(kept)
+        own, is_copy = argb[place], np.zeros(len(place), bool)
+        is_copy[np.searchsorted(place, np.array([a for a, _, _ in ranges], np.int64))] = True
+    green = (own >> np.uint32(8) & np.uint32(255)).astype(np.int64)
+    literal = ~is_copy
+    if cache_bits:
+        hit = cache_hits(argb, cache_bits)
+        hit = (hit if place is None else hit[place]) & literal
+        literal &= ~hit
+        green[hit] = 280 + ((own[hit] * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+    spots = np.flatnonzero(is_copy)
+    distance = np.zeros(0, np.int64)
+    if ranges:
+        length, length_extra, length_bits = _length_symbols(np.array([x[1] for x in ranges], np.int64))
+        distance, distance_extra, distance_bits = _length_symbols(np.array([_distance_code(x[2], width) for x in ranges], np.int64))
+        green[spots] = 256 + length
+    # values and their numbers of bits, up to six a symbol
+    fields = [_coded(out, green, 280 + (1 << cache_bits if cache_bits else 0), None, len(own))]
+    for shift in (16, 0, 24):
+        fields.append(_coded(out, (own[literal] >> np.uint32(shift) & np.uint32(255)).astype(np.int64), 256, literal, len(own)))
+    last = _coded(out, distance, 40, spots, len(own))
+    fields = [x for x in fields if x is not None]
+    if ranges:
+        extras = []
+        for values, bits in ((length_extra, length_bits), (distance_extra, distance_bits)):
+            value, many = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            value[spots], many[spots] = values, bits
+            extras.append((value, many))
+        fields += [extras[0], *([last] if last is not None else []), extras[1]]
+    if fields:
+        _write_all(out, np.stack([x[0] for x in fields], axis=1).ravel(), np.stack([x[1] for x in fields], axis=1).ravel())
+
+
+def _coded(out: BitWriter, symbols: np.ndarray, size: int, where: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Write the code fitted to symbols; their codes and lengths, at ``where`` of n places.
+    None if the code takes no bits."""
+    low = int(symbols[0]) if len(symbols) else 0
+    if low < 256 and not (symbols != low).any():
+        # a simple code of one symbol of eight bits
+        out.write(5 | low << 3, 11)
+        return None
+    code = write_code(out, limited_lengths(np.bincount(symbols, minlength=size).tolist(), _OWN_LONGEST))
+    if code.only is not None:
+        return None
+    bits, lengths = _code_arrays(code, size)
+    if where is None:
+        return bits[symbols], lengths[symbols]
+    value, many = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    value[where], many[where] = bits[symbols], lengths[symbols]
+    return value, many
+
+
+def _code_arrays(code: PrefixCode, size: int) -> tuple[np.ndarray, np.ndarray]:
+    bits, lengths = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    symbols = list(code.codes)
+    both = np.array(list(code.codes.values()), np.int64)
+    bits[symbols], lengths[symbols] = both[:, 0], both[:, 1]
+    return bits, lengths
+
+
+#: Four codes and a shift of up to seven bits fit 63 bits.
+_OWN_LONGEST = 14
+
+
+def _write_all(out: BitWriter, value: np.ndarray, n: np.ndarray) -> None:
+    """Write all values, each in its number of bits, 28 at most for two together."""
+    for first in range(0, len(value), 1 << 18):
+        v, k = value[first : first + (1 << 18)].astype(np.uint64), n[first : first + (1 << 18)]
+        for _ in range(2):
+            if int(k.max()) > 28:
+                break
+            if len(v) & 1:
+                v, k = np.append(v, np.uint64(0)), np.append(k, 0)
+            v, k = v[::2] | v[1::2] << k[::2].astype(np.uint64), k[::2] + k[1::2]
+        ends = np.cumsum(k)
+        at = ends - k
+        total = int(ends[-1])
+        v = v << (at & 7).astype(np.uint64)
+        # the bytes of the words, summed where words share one
+        parts = v.view(np.uint8).reshape(-1, 8)
+        spread = (at >> 3)[:, None] + np.arange(8)
+        data = np.bincount(spread.ravel(), weights=parts.ravel(), minlength=total // 8 + 9).astype(np.uint8)
+        out.append(data[: (total + 7) // 8].tobytes(), total)
+
+
+def _distance_code(distance: int, width: int) -> int:
+    """The least code of a distance in pixels."""
+    near = _NEAR.get(width)
+    if near is None:
+        near = _NEAR[width] = {}
+        for code in range(120, 0, -1):
+            near[_distance(code, width)] = code
+        if len(_NEAR) > 64:
+            _NEAR.pop(next(iter(_NEAR)))
+    return near.get(distance, distance + 120)
+
+
+_NEAR: dict[int, dict[int, int]] = {}
 
 
 # transforms -------------------------------------------------------------------
@@ -422,28 +767,55 @@ def predicted(mode: int, left, top, top_left, top_right):
     raise ValueError("no such predictor")
 
 
+#: Predictors that look at the row above alone.
+_ABOVE = (0, 2, 3, 4, 8, 9)
+
+
+def _guessed(mode: int, done: np.ndarray, y: int, x0: int, x1: int) -> np.ndarray:
+    """Predictions for columns x0 to x1 of row y from finished pixels around them."""
+    above, width = done[y - 1], done.shape[1]
+    right = above[x0 + 1 : x1 + 1]
+    if x1 == width:
+        # right of the last column lies the row's own first pixel
+        right = np.concatenate([right, done[y, :1]])
+    return predicted(mode, done[y, x0 - 1 : x1 - 1], above[x0:x1], above[x0 - 1 : x1 - 1], right)
+
+
 def _predict(argb: np.ndarray, modes: np.ndarray, shift: int, inverse: bool) -> np.ndarray:
-    """Add (inverse) or subtract predictions of a [height, width] image."""
+    """Add (inverse) or subtract predictions of a [height, width] image, by stretches of
+    a row that share a predictor; where the pixel to the left counts, sums along the row
+    or single steps undo it."""
     height, width = argb.shape
     own = _channels(argb)
-    done = own.copy() if inverse else own
+    done = own if not inverse else own.copy()
     result = own.copy()
-    for y in range(height):
-        for x in range(width):
-            if x == 0 and y == 0:
-                guess = np.array([255, 0, 0, 0], np.int32)
-            elif y == 0:
-                guess = done[0, x - 1]
-            elif x == 0:
-                guess = done[y - 1, 0]
-            else:
-                # right of the last column lies the row's own first pixel
-                right = done[y - 1, x + 1] if x + 1 < width else done[y, 0]
-                guess = predicted(int(modes[y >> shift, x >> shift]), done[y, x - 1], done[y - 1, x], done[y - 1, x - 1], right)
-            if inverse:
-                done[y, x] = (own[y, x] + guess) & 255
+    result[0, 0] = own[0, 0] - (255, 0, 0, 0)
+    if inverse:
+        first = own[0].copy()
+        first[0, 0] += 255
+        done[0] = np.cumsum(first, axis=0) & 255
+    else:
+        result[0, 1:] = own[0, 1:] - own[0, :-1]
+    for y in range(1, height):
+        if inverse:
+            done[y, 0] = (own[y, 0] + done[y - 1, 0]) & 255
+        else:
+            result[y, 0] = own[y, 0] - own[y - 1, 0]
+        row = modes[y >> shift]
+        edges = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            mode, x0, x1 = int(row[a]), max(a << shift, 1), min(b << shift, width)
+            if x0 >= x1:
+                continue
+            if not inverse:
+                result[y, x0:x1] = own[y, x0:x1] - _guessed(mode, own, y, x0, x1)
+            elif mode in _ABOVE:
+                done[y, x0:x1] = (own[y, x0:x1] + _guessed(mode, done, y, x0, x1)) & 255
+            elif mode == 1:
+                done[y, x0:x1] = (np.cumsum(own[y, x0:x1], axis=0) + done[y, x0 - 1]) & 255
             else:
-                result[y, x] = (own[y, x] - guess) & 255
+                for x in range(x0, x1):
+                    done[y, x] = (own[y, x] + _guessed(mode, done, y, x, x + 1)[0]) & 255
     return _joined(done if inverse else result)
 
 
@@ -485,7 +857,7 @@ def _blocks(size: int, shift: int) -> int:
 
 @dataclass(frozen=True)
 class Options:
-    """How to encode: transforms, colour cache and copies; none by default."""
+    """How to encode: transforms, colour cache and back-references; none by default."""
 
     predictor: int | None = None
     cross_colour: tuple[int, int, int] | None = None
@@ -494,10 +866,6 @@ class Options:
     cache_bits: int = 0
     copies: bool = False
 
-    @property
-    def plain(self) -> bool:
-        return self == Options()
-
 
 def encode(argb: np.ndarray, options: Options = Options()) -> bytes:
     """A WebP file of [height, width] uint32 ARGB pixels."""
@@ -544,14 +912,8 @@ def encode(argb: np.ndarray, options: Options = Options()) -> bytes:
             write_image(out, np.full(rows * columns, element, np.uint32), columns, False)
             argb = _cross(argb, np.full((rows, columns), element, np.uint32), shift, False)
     out.write(0, 1)
-    flat = argb.ravel()
-    if options.plain:
-        out.write(*_plain_codes())
-        body = _write_even(out, flat)
-    else:
-        write_image(out, flat, width, True, options.cache_bits, options.copies)
-        body = out.bytes()
-    return _riff([(b"VP8L", body)])
+    write_image(out, argb.ravel(), width, True, options.cache_bits, options.copies)
+    return _riff([(b"VP8L", out.bytes())])
 
 
 def _write_kind(out: BitWriter, kind: int) -> None:
@@ -582,6 +944,13 @@ def chunks(file: bytes) -> list[tuple[bytes, bytes]]:
 
 def decode(file: bytes) -> np.ndarray:
     """The [height, width] uint32 ARGB pixels of a lossless WebP file."""
+    try:
+        return _decode(file)
+    except (IndexError, KeyError, OverflowError, TypeError) as damage:
+        raise ValueError("the file is damaged") from damage
+
+
+def _decode(file: bytes) -> np.ndarray:
     stream = next((x for name, x in chunks(file) if name == b"VP8L"), None)
     if stream is None:
         raise ValueError("no lossless image")
@@ -626,5 +995,6 @@ def decode(file: bytes) -> np.ndarray:
             table = np.zeros(256, np.uint32)  # colours beyond the palette are transparent black
             table[: len(given)] = given
             argb = table[index]
-    assert argb.shape == (height, full)
+    if bits.at > 8 * len(stream) or argb.shape != (height, full):
+        raise ValueError("the image ends early")
     return argb
