@@ -35,6 +35,24 @@ def test_notices_are_found():
     assert [h[0] for h in twice] == ["MIT", "MIT"] and twice[1][3] > twice[0][4]
 
 
+def test_a_framed_notice_is_found():
+    """Words of the template stand shortly before and after it."""
+    ten = "one two four five six seven eight nine ten eleven"
+    text = f"this {ten} {la.TEMPLATES['GPL-3.0']} {ten} 3"
+    (hit,) = [h for h in hits(text) if h[0] == "GPL-3.0"]
+    assert (hit[1], hit[2], hit[3]) == (1.0, 1.0, 11)
+
+
+def test_whole_license_texts():
+    """With a holder's name put in, words left out and a clause added."""
+    for name in ("MIT-full", "ISC-full", "BSD-2-Clause-full"):
+        words = la.TEMPLATES[name].split()
+        edited = [w for k, w in enumerate(words) if k % 17 != 5]
+        edited[len(edited) // 2 : len(edited) // 2] = "this clause was put in by the company that changed the text".split()
+        (hit,) = [h for h in hits("Copyright 2024 Someone\n\n" + " ".join(edited) + "\n\nimport os") if h[0] == name]
+        assert 0.9 < hit[1] < 1 and hit[2] > 0.85
+
+
 def test_edited_notices_have_partial_coverage():
     text = la.TEMPLATES["BSD-text"].replace("binary", "object").replace("permitted", "allowed")
     (hit,) = [h for h in hits(text) if h[0] == "BSD-text"]
