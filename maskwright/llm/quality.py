@@ -6,10 +6,11 @@ word that equal an earlier line), n_lines (lines with a word), n_repeat_words (w
 in 3-word windows that the text has twice or more).
 
 A document is kept if no rule rejects it. Rules are independent, so their order
-changes cost alone: on a bounded sample each rule's time per row and share of
-rejections are measured, and rules run by rejections per second, highest first. The
-sample is the first rows that a scan gives, ``SAMPLE_ROWS`` at most; no result
-depends on it.
+changes cost alone: on a bounded sample each rule's time is measured, less that of a
+job that does nothing, and which rules reject each row together. The rule with most
+rejections per second goes first, then the one with most among the rows that it lets
+pass, and so on. The sample is the first rows that arrive from the tasks of a scan,
+``SAMPLE_ROWS`` at most; no result depends on it. Texts of any length are exact.
 
 A null text has no words and is rejected. Ties between rules keep their listed
 order. An empty table gives no rows. Other columns are not read by ``metrics``; the
@@ -156,28 +157,38 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by rejections per second on a sample, highest first."""
+    """``rules`` by rejections per second on what those before let pass, highest first."""
     sample = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).limit(sample_rows).cache()
     try:
-        rows = sample.count()
-        if not rows:
+        if not sample.count():
             return list(rules)
 
-        def seconds(rejected: Column) -> tuple[float, int]:
+        def seconds(rejected: Column) -> float:
             began = time.perf_counter()
-            n = sample.agg(F.count_if(rejected)).first()[0]
-            return time.perf_counter() - began, n
-
-        idle, _ = seconds(F.length("text") < 0)
-        gains = {}
-        for rule in rules:
-            cost, rejected = seconds(rejects(rule, {m: METRICS[m](F.col("text")) for m in rule.metrics}))
-            gains[rule] = rejected / max(cost - idle, 1e-4)
-        return sorted(rules, key=gains.__getitem__, reverse=True)
+            sample.agg(F.count_if(rejected)).collect()
+            return time.perf_counter() - began
+
+        verdicts = [rejects(rule, {m: METRICS[m](F.col("text")) for m in rule.metrics}) for rule in rules]
+        idle = min(seconds(F.length("text") < k) for k in (0, -1, -2))
+        costs = [max(seconds(v) - idle, 1e-4) for v in verdicts]
+        # how many rows each set of rules rejects: at most one row for each set
+        together = sample.select(*[v.alias(f"r{k}") for k, v in enumerate(verdicts)]).groupBy(*[f"r{k}" for k in range(len(rules))]).count().collect()
+        return [rules[k] for k in greedy(costs, [(tuple(row)[:-1], row["count"]) for row in together])]
     finally:
         sample.unpersist()
 
 
+def greedy(costs: list[float], together: list[tuple[tuple[bool, ...], int]]) -> list[int]:
+    """The order by rejections per cost among the rows that no earlier rule rejects;
+    ``together`` counts the rows that a set of rules rejects. Ties go to the first."""
+    order: list[int] = []
+    while len(order) < len(costs):
+        passed = [(flags, n) for flags, n in together if not any(flags[k] for k in order)]
+        left = [k for k in range(len(costs)) if k not in order]
+        order.append(max(left, key=lambda k: (sum(n for flags, n in passed if flags[k]) / costs[k], -k)))
+    return order
+
+
 def rejects(rule: Rule, values: dict[str, Column]) -> Column:
     """The rule's verdict over metrics given as columns."""
     return rule.reject(*[values[m] for m in rule.metrics])

@@ -87,3 +87,11 @@ def test_more_places_than_a_long_holds(spark, documents, monkeypatch):
     monkeypatch.setattr(quality, "_PLACE_BITS", 5)
     check(documents.limit(60))
     check(spark.createDataFrame([(1, "a b c " + " ".join(f"w{k}" for k in range(200)) + " a b c"), (2, "a b c a b c")], "doc_id bigint, text string"))
+
+
+def test_the_order_looks_at_what_is_left():
+    """The second rule rejects most on its own, but nothing that the first lets pass."""
+    together = [((True, True, False), 50), ((True, False, False), 10), ((False, False, True), 5), ((False, False, False), 35)]
+    assert quality.greedy([1.0, 1.0, 1.0], together) == [0, 2, 1]
+    assert quality.greedy([10.0, 1.0, 1.0], together) == [1, 2, 0]
+    assert quality.greedy([1.0, 1.0], []) == [0, 1]
