@@ -14,7 +14,7 @@ Images are written with prefix codes fitted to their pixels, and by their bytes
 * all others: one byte a pixel.
 
 All but the third have back-references for stretches that occur again, the last from
-2 kB on. Reading takes
+4 kB on. Reading takes
 the general decoder. Cross-colour never shortens images of one or two channels, so it
 is for images that others made.
 
@@ -46,7 +46,7 @@ PAIRS_CHUNK = b"PAIR"
 #: Bytes from which pairs of bytes are tried, and bits of their colour cache.
 PAIRS_FROM, PAIR_CACHE = 1 << 14, 10
 #: Bytes from which what occurs again is worth the distances' code.
-COPIES_FROM = 1 << 11
+COPIES_FROM = 1 << 12
 _OPAQUE = np.uint32(0xFF000000)
 
 

@@ -439,8 +439,9 @@ def _read_many(bits: BitReader, codes: list[PrefixCode], width: int, n: int, cac
         return np.full(n, pixel, np.uint32)
     if codes[0].only is not None and codes[0].only >= 256:
         raise ValueError("an image begins with a copy")
-    # by symbol: its green, its pixels, the colour of a literal, the distance of a copy
-    greens, sizes, colours, backs = [], [], [], []
+    # by symbol: its green, the colour of a literal, its pixels and the distance of a copy
+    parts: list[tuple] = []
+    copying, caching = any(codes[0].lengths[256:280]), any(codes[0].lengths[280:])
     total = 0
     while total < n:
         if bits.at >= 8 * len(bits.data):
@@ -450,10 +451,7 @@ def _read_many(bits: BitReader, codes: list[PrefixCode], width: int, n: int, cac
         found = part.green[places]
         green = found >> 4
         after = places + (found & 15)
-        size = np.ones(len(places), np.int64)
-        back = np.zeros(len(places), np.int64)
         colour = green.astype(np.uint32) << np.uint32(8)
-        literal = green < 256
         at = after
         for k, shift in ((1, 16), (2, 0), (3, 24)):
             if codes[k].only is not None:
@@ -463,8 +461,14 @@ def _read_many(bits: BitReader, codes: list[PrefixCode], width: int, n: int, cac
             channel = part.found(k).take(at)
             colour |= (channel >> 4).astype(np.uint32) << np.uint32(shift)
             at = at + (channel & 15)
-        copy = np.flatnonzero(~literal & (green < 280))
-        if len(copy):
+        copy = np.flatnonzero((green >= 256) & (green < 280)) if copying else ()
+        if not len(copy):
+            used = min(len(places), n - total)
+            total += used
+            size = back = None
+        else:
+            size = np.ones(len(places), np.int64)
+            back = np.zeros(len(places), np.int64)
             symbol, place = green[copy] - 256, part.clipped(after[copy])
             size[copy] = _values(symbol, part.bits(place, _extra_bits(symbol)))
             place = part.clipped(place + _extra_bits(symbol))
@@ -472,20 +476,23 @@ def _read_many(bits: BitReader, codes: list[PrefixCode], width: int, n: int, cac
             place = part.clipped(place + (distance & 15))
             code = _values(distance >> 4, part.bits(place, _extra_bits(distance >> 4)))
             back[copy] = [_distance(x, width) for x in code.tolist()]
-        ends = np.cumsum(size) + total
-        used = int(np.searchsorted(ends, n)) + 1
-        if used <= len(ends) and ends[used - 1] > n:
-            raise ValueError("a copy leaves the image")
-        used = min(used, len(ends))
+            ends = np.cumsum(size) + total
+            used = int(np.searchsorted(ends, n)) + 1
+            if used <= len(ends) and ends[used - 1] > n:
+                raise ValueError("a copy leaves the image")
+            used = min(used, len(ends))
+            total = int(ends[used - 1])
+            size, back = size[:used], back[:used]
         bits.at = part.first + int(part.next[places[used - 1]])
-        total = int(ends[used - 1])
-        greens.append(green[:used])
-        sizes.append(size[:used])
-        colours.append(colour[:used])
-        backs.append(back[:used])
+        parts.append((green[:used], colour[:used], size, back))
     if bits.at > 8 * len(bits.data):
         raise ValueError("the image ends early")
-    return _laid(np.concatenate(greens), np.concatenate(sizes), np.concatenate(colours), np.concatenate(backs), cache_bits, n)
+    green, colour = (np.concatenate([x[k] for x in parts]) if len(parts) > 1 else parts[0][k] for k in (0, 1))
+    if not caching and all(x[2] is None for x in parts):
+        return colour
+    size = np.concatenate([np.ones(len(x[0]), np.int64) if x[2] is None else x[2] for x in parts])
+    back = np.concatenate([np.zeros(len(x[0]), np.int64) if x[3] is None else x[3] for x in parts])
+    return _laid(green, size, colour, back, cache_bits, n)
 
 
 def _laid(green: np.ndarray, size: np.ndarray, colour: np.ndarray, back: np.ndarray, cache_bits: int, n: int) -> np.ndarray:
@@ -640,8 +647,13 @@ def write_image(out: BitWriter, argb: np.ndarray, width: int, top: bool, cache_b
         green[spots] = 256 + length
     # values and their numbers of bits, up to six a symbol
     fields = [_coded(out, green, 280 + (1 << cache_bits if cache_bits else 0), None, len(own))]
+    literals = own[literal] if ranges or cache_bits else own
+    rest = literals & np.uint32(0xFFFF00FF)
+    if not len(rest) or (rest == rest[0]).all():
+        # images of one channel
+        literals = literals[:1]
     for shift in (16, 0, 24):
-        fields.append(_coded(out, (own[literal] >> np.uint32(shift) & np.uint32(255)).astype(np.int64), 256, literal, len(own)))
+        fields.append(_coded(out, (literals >> np.uint32(shift) & np.uint32(255)).astype(np.int64), 256, literal, len(own)))
     last = _coded(out, distance, 40, spots, len(own))
     fields = [x for x in fields if x is not None]
     if ranges:
@@ -651,7 +663,9 @@ def write_image(out: BitWriter, argb: np.ndarray, width: int, top: bool, cache_b
             value[spots], many[spots] = values, bits
             extras.append((value, many))
         fields += [extras[0], *([last] if last is not None else []), extras[1]]
-    if fields:
+    if len(fields) == 1:
+        _write_all(out, *fields[0])
+    elif fields:
         _write_all(out, np.stack([x[0] for x in fields], axis=1).ravel(), np.stack([x[1] for x in fields], axis=1).ravel())
 
 
