@@ -21,7 +21,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     one is set only where that is unset, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local["):
+        if not spark.conf.get("spark.checkpoint.dir", None) and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-"))
     return context._jsc.sc().getCheckpointDir().get()
