@@ -13,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one of this machine
     only where it is unset and Spark runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return named or tempfile.mkdtemp(prefix="maskwright-")
 
