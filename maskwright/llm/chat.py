@@ -17,8 +17,10 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,9 @@ OPEN, AFTER_ROLE, CLOSE = "### ", ": ", " </turn>\n"
 ESCAPES = (("\\", "\\\\"), ("#", "\\h"), ("<", "\\l"))
 _UNESCAPED = {"\\": "\\", "h": "#", "l": "<", "c": ":"}
 ASSISTANT = "assistant"
+TOKENIZER = "byte_bpe_50k.json"
+#: Conversations taken from a batch, and characters encoded, at a time.
+_ROWS, _TOGETHER = 64, 1 << 20
 
 
 def escape(text: str) -> str:
@@ -99,83 +104,114 @@ def intersect(spans: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 @cache
-def _tokenizer(path: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(path)
+def _tokenizer(name: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     return tokenizer
 
 
-def masked(formatted: str, spans: list[tuple[int, int]], path: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """ids, the loss mask of each token, and the shared character ranges."""
-    encoded = _tokenizer(path).encode(formatted, add_special_tokens=False)
-    tokens = np.array(encoded.offsets, np.int64).reshape(-1, 2)
-    hit, ranges = intersect(np.array(spans, np.int64).reshape(-1, 2), tokens)
-    mask = np.zeros(len(tokens), bool)
-    mask[hit] = True
-    return encoded.ids, mask, ranges
+def masked(rendered: list[tuple[str, list[tuple[int, int]]]], tokenizer: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, the loss mask of each token, and the shared character ranges of each text."""
+    for (_, spans), encoded in zip(rendered, _tokenizer(tokenizer).encode_batch([x for x, _ in rendered], add_special_tokens=False), strict=True):
+        tokens = np.fromiter(chain.from_iterable(encoded.offsets), np.int64, 2 * len(encoded)).reshape(-1, 2)
+        hit, ranges = intersect(np.array(spans, np.int64).reshape(-1, 2), tokens)
+        mask = np.zeros(len(tokens), bool)
+        mask[hit] = True
+        yield np.array(encoded.ids, np.int32), mask, ranges
 
 
 def covered(formatted: str, ranges: np.ndarray) -> list[str]:
     """The text under the mask, a string for each span, each character once.
 
-    Tokens that share a character, as parts of one that needs several bytes, overlap.
+    Tokens that share a character, as parts of one that needs several bytes, overlap;
+    ranges that touch or overlap are read as one.
     """
-    texts: list[str] = []
-    last_span, at = -1, 0
-    for span, start, end in ranges.tolist():
-        if span != last_span:
-            texts.append("")
-            last_span, at = span, start
-        texts[-1] += formatted[max(start, at) : end]
-        at = max(at, end)
-    return texts
+    span, start, end = ranges.T
+    reach = np.maximum.accumulate(end)
+    opens = np.flatnonzero((np.diff(span, prepend=-1) != 0) | (start > np.append(0, reach)[:-1]))
+    texts: dict[int, str] = {}
+    for own, a, b in zip(span[opens].tolist(), start[opens].tolist(), reach[np.append(opens, len(span))[1:] - 1].tolist(), strict=True):
+        texts[own] = texts.get(own, "") + formatted[a:b]
+    return list(texts.values())
+
+
+Made = tuple[str, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _made(batch: pa.RecordBatch, tokenizer: str) -> Iterator[tuple[pa.Array, list[Made]]]:
+    """Conversation ids, and what is made of them, about ``_TOGETHER`` characters at a time."""
+    for first in range(0, len(batch), _ROWS):
+        part = batch.slice(first, _ROWS)
+        rendered = [render([(t["role"], t["text"]) for t in turns]) for turns in part.column(1).to_pylist()]
+        sizes = np.cumsum([len(x) for x, _ in rendered]) // _TOGETHER
+        edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(rendered)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield part.column(0).slice(a, b - a), [(x, *rest) for (x, _), rest in zip(rendered[a:b], masked(rendered[a:b], tokenizer), strict=True)]
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list of each array's elements, or rows."""
+    offsets = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+    whole = np.concatenate(parts)
+    values = pa.array(whole.reshape(-1), kind)
+    if whole.ndim == 2:
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * whole.shape[1], pa.int32()), values)
+    return pa.ListArray.from_arrays(offsets, values)
 
 
 _FORMATTED = "conv_id {}, formatted string, ids array<int>, mask array<boolean>, ranges array<array<int>>"
 
 
-def _formatter(path: str):
+def _formatter(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                part = batch.slice(first, 256)
-                out = [[], [], [], []]
-                for turns in part.column(1).to_pylist():
-                    formatted, spans = render([(t["role"], t["text"]) for t in turns])
-                    for column, value in zip(out, (formatted, *masked(formatted, spans, path)), strict=True):
-                        column.append(value.tolist() if isinstance(value, np.ndarray) else value)
-                types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], names=["conv_id", "formatted", "ids", "mask", "ranges"])
+            for convs, made in _made(batch, tokenizer):
+                formatted, ids, mask, ranges = map(list, zip(*made, strict=True))
+                columns = [convs, pa.array(formatted, pa.string()), _lists(ids, pa.int32()), _lists(mask, pa.bool_()), _lists(ranges, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "ids", "mask", "ranges"])
 
     return run
 
 
-def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def _turns(turns: DataFrame) -> DataFrame:
+    """conv_id and its turns in order."""
+    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
+
+
+def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """conv_id, formatted, ids, mask (loss, by token) and ranges of each conversation.
 
-    A range is (assistant span, start, end) in characters of formatted.
+    A range is (assistant span, start, end) in characters of formatted. ``tokenizer`` is
+    an absolute path that all machines have, or a name that each looks up.
     """
-    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    return whole.mapInArrow(_formatter(path), _FORMATTED.format(turns.schema["conv_id"].dataType.simpleString()))
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for formatted, ids, mask, ranges in zip(*[batch.column(k).to_pylist() for k in range(1, 5)], strict=True):
-            turns = parse(formatted)
-            said = "".join(f"{role}\n{text}\n" for role, text in turns)
-            under = "".join(map(unescape, covered(formatted, np.array(ranges, np.int64).reshape(-1, 3))))
-            rows.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(formatted), len(ids), sum(mask)))
+    return _turns(turns).mapInArrow(_formatter(tokenizer), _FORMATTED.format(turns.schema["conv_id"].dataType.simpleString()))
+
+
+def _read_back(formatted: str, ids: np.ndarray, mask: np.ndarray, ranges: np.ndarray) -> tuple:
+    turns = parse(formatted)
+    said = "".join(f"{role}\n{text}\n" for role, text in turns)
+    under = "".join(map(unescape, covered(formatted, ranges)))
+    return len(turns), hashlib.sha256(said.encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(formatted), len(ids), int(mask.sum())
+
+
+_DIGEST = "conv_id {}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint"
+
+
+def _digester(tokenizer: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"])
+        for batch in batches:
+            for convs, made in _made(batch, tokenizer):
+                rows = list(zip(*[_read_back(*x) for x in made], strict=True))
+                columns = [pa.array(c, t) for c, t in zip(rows, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([convs, *columns], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"])
+
+    return run
 
 
-def digest(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """What the formatted conversations hold, read back from them."""
-    made = format_conversations(turns, tokenizer)
-    schema = "conv_id {}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint"
-    return made.mapInArrow(_digests, schema.format(made.schema["conv_id"].dataType.simpleString()))
+def digest(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """What the formatted conversations hold, read back from them in the task that makes
+    them, so that ids and masks need not pass through the JVM."""
+    return _turns(turns).mapInArrow(_digester(tokenizer), _DIGEST.format(turns.schema["conv_id"].dataType.simpleString()))

@@ -56,10 +56,8 @@ def test_rendering_is_reversible(turns):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), NASTY), max_size=4))
 def test_masks_cover_assistant_texts(turns):
-    import public_tokenizers
-
     formatted, spans = chat.render(turns)
-    ids, mask, ranges = chat.masked(formatted, spans, public_tokenizers.path("byte_bpe_50k.json"))
+    ((ids, mask, ranges),) = chat.masked([(formatted, spans)], chat.TOKENIZER)
     assert len(ids) == len(mask)
     assert chat.covered(formatted, ranges) == [formatted[a:b] for a, b in spans if b > a]
 
@@ -75,3 +73,23 @@ def test_token_masks(spark):
     r = chat.format_conversations(df).first()
     assert r.formatted == "### user: hi </turn>\n### assistant: hello there </turn>\n"
     assert len(r.ids) == len(r.mask) and 0 < sum(r.mask) < 5
+
+
+def test_texts_under_ranges_that_overlap_touch_or_part():
+    ranges = np.array([[0, 1, 3], [0, 1, 3], [0, 3, 4], [1, 6, 8], [1, 7, 9], [1, 10, 11]])
+    assert chat.covered("0123456789ab", ranges) == ["123", "678a"]
+    assert chat.covered("abc", np.zeros((0, 3), np.int64)) == []
+
+
+def test_formatted_conversations_equal_digests(spark):
+    """The general output, decoded by its own ranges, gives what the digest gives."""
+    rows = [(c, t, ("user", "assistant")[t % 2], f"turn {t} of {c} <é😀>" * (c % 5), 7) for c in range(150) for t in range(c % 4 + 1)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, ids int")
+    digests = {r.conv_id: r for r in chat.digest(df).collect()}
+    made = chat.format_conversations(df).collect()
+    assert len(made) == len(digests) == 150
+    for r in made:
+        d = digests[r.conv_id]
+        under = "".join(map(chat.unescape, chat.covered(r.formatted, np.array(r.ranges, np.int64).reshape(-1, 3))))
+        assert (d.n_turns, d.n_tokens, d.loss_tokens, d.loss_chars) == (len(chat.parse(r.formatted)), len(r.ids), sum(r.mask), len(under))
+        assert d.loss_sha256 == hashlib.sha256(under.encode()).hexdigest()
