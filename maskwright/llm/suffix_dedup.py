@@ -55,8 +55,6 @@ ANCHOR = 48
 PLACES = LENGTH - ANCHOR + 1
 #: Offsets at which ranks are paired; each doubles the length that is ranked.
 OFFSETS = (25, 50)
-#: Most bytes of runs that are broadcast to the texts; beyond it the join shuffles.
-BROADCAST_BYTES = 24 << 20
 _N_BITS = 7  # a run has at most PLACES starts
 _RANK_BITS = 24  # low bits of the covering rank that the first sort key holds
 
@@ -254,14 +252,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _sized(df: DataFrame, arrays: list[str]) -> DataFrame:
-    """``df``, to be broadcast if a count of its bytes allows it."""
-    total = df.agg(F.sum(sum((F.size(a) for a in arrays), F.lit(5)) * 8)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
-
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with doc, a long in the documents' order.
+    """doc, a long in the documents' order, and text; and doc_id unless doc is the id.
 
     Integer ids that are given and unique are that number. Others are numbered by a sort
     of the ids and the texts' hashes.
@@ -269,17 +261,20 @@ def numbered(docs: DataFrame) -> DataFrame:
     counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     least, most, unnamed = counts.agg(F.count(F.lit(1)), F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
     if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) and not unnamed and (not least or most == 1):
-        return docs.withColumn("doc", F.col("doc_id").cast("long"))
+        return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), "text")
     keyed = docs.withColumn("hash", F.xxhash64("text"))
     order = keyed.select(F.col("doc_id").alias("id"), F.col("hash").alias("own")).distinct().orderBy(F.col("id").asc_nulls_last(), "own")
     order = checkpoint(order.withColumn("doc", F.monotonically_increasing_id()))
     same = keyed["doc_id"].eqNullSafe(order["id"]) & (keyed["hash"] == order["own"])
-    return checkpoint(keyed.join(order, same).select("doc_id", "text", "doc"))
+    return checkpoint(keyed.join(order, same).select("doc", "text", "doc_id"))
 
 
 def removed_runs(table: DataFrame) -> DataFrame:
     """(doc, starts, ends): the byte runs to remove from each document of a
-    ``numbered`` table that has any."""
+    ``numbered`` table that has any.
+
+    Shorter texts have no runs, so the join needs no filter; without one it shuffles
+    the same rows as the join of ``deduplicated``, which reads them again."""
     texts = table.filter(F.octet_length("text") >= LENGTH).select("doc", "text")
     ranked = texts.mapInArrow(_runs, "key bigint, rest bigint, doc bigint, s0 bigint, whole bigint")
     # runs that are known to repeat go apart by their document, not with their anchor
@@ -289,7 +284,7 @@ def removed_runs(table: DataFrame) -> DataFrame:
     by_doc = checkpoint(judged.groupBy("doc").agg(F.collect_list("whole").alias("whole"), F.collect_list("part").alias("part")))
 
     parts = by_doc.select("doc", "part").filter(F.size("part") > 0)
-    open_texts = texts.join(_sized(parts, ["part"]), "doc").select("doc", "text", "part")
+    open_texts = table.select("doc", "text").join(parts, "doc")
     pairs = open_texts.mapInArrow(_pairs, "head bigint, tail bigint, doc bigint, start bigint")
     later = pairs.repartition("head").sortWithinPartitions("head", "tail", "doc", "start").mapInArrow(_later, "doc bigint, run bigint")
     starts = later.groupBy("doc").agg(F.collect_list("run").alias("runs"))
@@ -301,8 +296,8 @@ def removed_runs(table: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    table = numbered(documents_of(docs, id_col, text_col))
-    runs = checkpoint(removed_runs(table))
-    joined = table.join(_sized(runs, ["starts", "ends"]), "doc", "left").select("doc_id", "text", "starts", "ends")
-    id_type = table.schema["doc_id"].dataType.simpleString()
+    docs = documents_of(docs, id_col, text_col)
+    table, id_type = numbered(docs), docs.schema["doc_id"].dataType.simpleString()
+    own = F.col("doc_id") if "doc_id" in table.columns else F.col("doc").cast(id_type).alias("doc_id")
+    joined = table.join(removed_runs(table), "doc", "left").select(own, "text", "starts", "ends")
     return joined.mapInArrow(_digest, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
