@@ -109,25 +109,6 @@ def test_a_passage_that_many_rows_share(spark):
     rows = [(i, text(rng.randint(0, 80)) + passages[i % 3] + text(rng.randint(0, 80)) + passages[i % 2]) for i in range(300)]
     check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7))
 
-
-def test_both_joins_read_one_shuffle_of_the_texts(spark, tmp_path):
-    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    rng = random.Random(8)
-    shared = "".join(rng.choice("abcdefgh ") for _ in range(130))
-    rows = [(i, f"{i} " * 40 + shared + f" {i * 7}" * 30) for i in range(60)]
-    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/docs")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-        found = suffix_dedup.deduplicated(spark.read.parquet(f"{tmp_path}/docs"))
-        result = {r.doc_id: r.n_removed for r in found.collect()}
-        plan = found._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
-    assert result == {i: n for i, (_, n, _, _) in by_hand(rows).items()}
-    final = plan.split("== Initial Plan ==")[0]
-    assert final.count("SortMergeJoin") >= 2 and "ReusedExchange" in final
-
-
 def test_every_start_is_in_one_run():
     data = np.random.default_rng(0).integers(97, 103, 5000, dtype=np.uint8)
     offsets = np.array([0, 50, 150, 150, 3000, 5000])
