@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
-from itertools import accumulate
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,36 +32,85 @@ def decode_mismatch(text: Column, decoded: Column) -> Column:
     return run(text, decoded)
 
 
-def token_offsets(text: str, tokens: Sequence[str], special: frozenset[str]) -> list[dict]:
-    """Offsets of word pieces that stand one after another in the NFKC form of a text.
+def token_places(text: str, tokens: Sequence[str], special: frozenset[str]) -> tuple[list[int], list[int]]:
+    """Starts and ends of word pieces that stand one after another in the NFKC form of a text.
 
     Special tokens and those that are not found are (0, 0); the next one is then looked
     for where the one before ended. A piece of several characters that one character's
     form has is that character.
     """
-    parts = [unicodedata.normalize("NFKC", c) for c in text]
-    whole, ends = "".join(parts), np.cumsum([len(x) for x in parts], dtype=np.int64)
-    pieces = ["" if t in special else t.removeprefix("##") for t in tokens]
+    forms = {ord(c): form for c in set(text) if (form := unicodedata.normalize("NFKC", c)) != c}
+    whole = text.translate(forms) if forms else text
+    starts, ends, last = [], [], 0
+    for token in tokens:
+        piece = "" if token in special else token.removeprefix("##")
+        place = whole.find(piece, last) if piece else -1
+        if place >= 0:
+            last = place + len(piece)
+        starts.append(max(place, 0))
+        ends.append(last if place >= 0 else 0)
+    if all(len(form) == 1 for form in forms.values()):
+        return starts, ends
+    until = np.cumsum([len(forms[ord(c)]) if ord(c) in forms else 1 for c in text], dtype=np.int64)
+    first, end = np.array(starts, np.int64), np.array(ends, np.int64)
+    # the character whose form holds a place is the first that ends beyond it
+    known = end > first
+    starts = np.where(known, np.searchsorted(until, first, side="right"), 0)
+    ends = np.where(known, np.searchsorted(until, end - 1, side="right") + 1, 0)
+    return starts.tolist(), ends.tolist()
 
-    def following(last: tuple[int, int], piece: str) -> tuple[int, int]:
-        place = whole.find(piece, last[1]) if piece else -1
-        return (place, place + len(piece)) if place >= 0 else (-1, last[1])
 
-    places = np.array(list(accumulate(pieces, following, initial=(-1, 0)))[1:], np.int64).reshape(-1, 2)
-    known = places[:, 0] >= 0
-    # the character whose form holds a place is the first that ends beyond it
-    first = np.where(known, np.searchsorted(ends, places[:, 0], side="right"), 0)
-    end = np.where(known, np.searchsorted(ends, places[:, 1] - 1, side="right") + 1, 0)
-    return [{"s": int(s), "e": int(e)} for s, e in zip(first, end, strict=True)]
+def token_offsets(text: str, tokens: Sequence[str], special: frozenset[str]) -> list[dict]:
+    """``token_places`` as a list of s and e."""
+    return [{"s": s, "e": e} for s, e in zip(*token_places(text, tokens, special), strict=True)]
+
+
+#: Result batches end at the row that fills so many elements, or after so many rows.
+_ELEMENTS, _ROWS = 1 << 15, 1 << 10
+
+
+def lists(rows: Iterable[Sequence[Sequence[int]] | None], names: Sequence[str]) -> Iterator[pa.ListArray]:
+    """Arrays of lists of structs with int fields, from rows of equally long columns.
+
+    A batch that Spark sends has 10,000 rows, however many elements they give: the
+    results of all would take memory that grows with the rows, so they go out in parts.
+    """
+    columns, until, null = [array("i") for _ in names], array("i", [0]), []
+
+    def built() -> pa.ListArray:
+        values = pa.StructArray.from_arrays([pa.array(np.array(c, np.int32)) for c in columns], list(names))
+        return pa.ListArray.from_arrays(pa.array(np.array(until, np.int32)), values, mask=pa.array(null))
+
+    for row in rows:
+        null.append(row is None)
+        for column, values in zip(columns, row or (), strict=row is not None):
+            column.extend(values)
+        until.append(len(columns[0]))
+        if len(columns[0]) >= _ELEMENTS or len(null) >= _ROWS:
+            yield built()
+            columns, until, null = [array("i") for _ in names], array("i", [0]), []
+    if null:
+        yield built()
 
 
 def reconstructed_offsets(text: Column, tokens: Column, special: Sequence[str] = ("[CLS]", "[SEP]", "[PAD]", "[UNK]", "[MASK]")) -> Column:
-    """``token_offsets`` over columns."""
+    """``token_places`` over columns."""
     known = frozenset(special)
 
-    @F.pandas_udf("array<struct<s: int, e: int>>")
-    def run(texts: pd.Series, pieces: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or p is None else token_offsets(t, list(p), known) for t, p in zip(texts, pieces, strict=True)])
+    def places(texts: pa.Array, pieces: pa.Array) -> Iterator[tuple[list[int], list[int]] | None]:
+        """One row's text and tokens at a time become Python objects."""
+        until, every = pieces.offsets, pieces.values
+        for k in range(len(texts)):
+            if not (texts[k].is_valid and pieces[k].is_valid):
+                yield None
+                continue
+            first, end = until[k].as_py(), until[k + 1].as_py()
+            yield token_places(texts[k].as_py(), every.slice(first, end - first).to_numpy(zero_copy_only=False).tolist(), known)
+
+    @F.arrow_udf("array<struct<s: int, e: int>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, pieces in batches:
+            yield from lists(places(texts, pieces), ("s", "e"))
 
     return run(text, tokens)
 
