@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -115,18 +116,31 @@ def reconstructed_offsets(text: Column, tokens: Column, special: Sequence[str] =
     return run(text, tokens)
 
 
-def python_spans(text: str, rules: Sequence[tuple[re.Pattern, RegexRule]], checks: dict) -> list[dict]:
-    """One text's spans by Python's own regex engine."""
+def chosen_spans(text: str, rules: Sequence[tuple[re.Pattern, RegexRule]], checks: dict) -> tuple[list[int], list[int], list[int]]:
+    """One text's spans by Python's own regex engine: starts, ends and places of rules,
+    by start."""
     keyed = []
     for ord, (pattern, rule) in enumerate(rules):
         for m in pattern.finditer(text):
             if m.end() > m.start() and (not rule.verify or checks[rule.verify](m.group())):
-                keyed.append((-rule.priority, m.start() - m.end(), m.start(), ord, m.end(), rule.label))
-    taken: list[tuple[int, int, str]] = []
-    for _, _, start, _, end, label in sorted(keyed):
-        if all(end <= s or start >= e for s, e, _ in taken):
-            taken.append((start, end, label))
-    return [{"label": label, "start": s, "end": e} for s, e, label in sorted(taken)]
+                keyed.append((-rule.priority, m.start() - m.end(), m.start(), ord, m.end()))
+    keyed.sort()
+    # disjoint and by start: only the last that starts before an end can overlap
+    starts: list[int] = []
+    ends: list[int] = []
+    ords: list[int] = []
+    for _, _, start, ord, end in keyed:
+        k = bisect_left(starts, end)
+        if not k or ends[k - 1] <= start:
+            starts.insert(k, start)
+            ends.insert(k, end)
+            ords.insert(k, ord)
+    return starts, ends, ords
+
+
+def python_spans(text: str, rules: Sequence[tuple[re.Pattern, RegexRule]], checks: dict) -> list[dict]:
+    """``chosen_spans`` as a list of label, start and end."""
+    return [{"label": rules[ord][1].label, "start": s, "end": e} for s, e, ord in zip(*chosen_spans(text, rules, checks), strict=True)]
 
 
 def _python_check(name: str):
@@ -161,10 +175,17 @@ def regex_spans_arrow(text: Column, rules: Sequence[RegexRule]) -> Column:
 
         return guarded
 
-    @F.pandas_udf("array<struct<label: string, start: int, end: int>>")
-    def run(texts: pd.Series) -> pd.Series:
+    labels = pa.array([r.label for r in rules], pa.string())
+
+    @F.arrow_udf("array<struct<label: string, start: int, end: int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compiled = [(re.compile(r.pattern), r) for r in rules]
         checks = {name: check(name) for name in custom}
-        return texts.map(lambda t: None if t is None else python_spans(t, compiled, checks))
+        for texts in batches:
+            rows = (chosen_spans(t.as_py(), compiled, checks) if t.is_valid else None for t in texts)
+            for part in lists(rows, ("start", "end", "ord")):
+                start, end, ord = part.values.flatten()
+                named = pa.StructArray.from_arrays([labels.take(ord), start, end], ["label", "start", "end"])
+                yield pa.ListArray.from_arrays(part.offsets, named, mask=part.is_null())
 
     return run(text)
