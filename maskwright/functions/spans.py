@@ -32,7 +32,7 @@ def empty(kind: str = SPANS) -> Column:
     return F.expr(f"cast(array() as {kind})")
 
 
-_BLOCK = 128
+_BLOCK = 32
 
 
 def places(first: Column, end: Column) -> Column:
@@ -41,25 +41,25 @@ def places(first: Column, end: Column) -> Column:
 
 
 def before(values: Column, join: Callable[[Column, Column], Column], start: Column) -> Column:
-    """For each element of an array of numbers, ``join`` over all before it, from ``start``.
+    """For each element of an array of numbers, ``join`` over all before it, from ``start``,
+    which adds nothing to a value that was joined with it.
 
-    A fold copies its state at every step, so one that builds an array takes quadratic
-    time. Here folds only carry a number, over the blocks of 128 before an element's own
-    and within that. Deeper trees would cost analysis more than they save.
+    A fold that builds an array copies it at every step, but copies are cheap beside
+    steps: folds run within blocks of 32, and over the last values of the blocks.
     """
 
-    def over(v: Column, first: Column, end: Column) -> Column:
-        return F.aggregate(places(first, end), start, lambda acc, i: join(acc, F.get(v, i)))
+    def running(v: Column) -> Column:
+        """One value more than ``v`` has: the last is over all of it."""
+        return F.aggregate(v, F.array(start), lambda acc, x: F.array_append(acc, join(F.get(acc, F.size(acc) - 1), x)))
 
     def blocks(v: Column) -> Column:
         count = F.floor((F.size(v) + _BLOCK - 1) / _BLOCK).cast("int")
-        return F.transform(places(F.lit(0), count), lambda b: over(v, b * _BLOCK, F.least(F.size(v), (b + 1) * _BLOCK)))
+        return F.transform(places(F.lit(0), count), lambda b: running(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))
 
-    def one(v: Column, above: Column, k: Column) -> Column:
-        b = F.floor(k / _BLOCK).cast("int")
-        return join(over(above, F.lit(0), b), over(v, b * _BLOCK, k))
+    def joined(parts: Column, above: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda p, b: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: join(F.get(above, b), x))))
 
-    return let(values, lambda v: let(blocks(v), lambda above: F.transform(v, lambda _, k: one(v, above, k))))
+    return let(let(values, blocks), lambda parts: let(running(F.transform(parts, lambda p: F.get(p, F.size(p) - 1))), lambda above: joined(parts, above)))
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -99,45 +99,59 @@ def checked(spans: Column) -> Column:
 # regex scan -------------------------------------------------------------------
 
 
+#: Set around matches to split a text at them; a text that holds it takes a slower path.
+_MARK = "\x01"
+
+
+def regex_pieces(text: Column, pattern: str) -> Column:
+    """The text before the first match, the match, the text up to the next one, and so on.
+
+    One search marks the matches, and a split by the mark needs none.
+    """
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+
+    def woven(found: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        return F.flatten(F.transform(gaps, lambda gap, k: F.when(k < F.size(found), F.array(gap, F.get(found, k))).otherwise(F.array(gap))))
+
+    return F.when(F.contains(text, F.lit(_MARK)), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), woven)).otherwise(marked)
+
+
 def regex_matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, text>> of leftmost non-overlapping matches.
 
     ``pattern`` is in Java's dialect and never matches the empty string: the texts
-    between matches, from a split by it, then give the offsets in code points.
+    between matches then give the offsets in code points.
     """
     kind = "struct<start: int, end: int, text: string>"
 
-    def placed(found: Column, gaps: Column) -> Column:
-        def entry(match: Column, k: Column, at: Column) -> Column:
-            start = F.get(at, k) + F.length(F.get(gaps, k))
+    def placed(pieces: Column) -> Column:
+        def entry(at: Column, k: Column) -> Column:
+            match = F.get(pieces, 2 * k + 1)
+            start = at + F.length(F.get(pieces, 2 * k))
             return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("text"))
 
-        sizes = F.transform(found, lambda match, k: F.length(F.get(gaps, k)) + F.length(match))
-        return let(before(sizes, plus, F.lit(0)), lambda at: F.transform(found, lambda match, k: entry(match, k, at)))
+        count = F.floor(F.size(pieces) / 2).cast("int")
+        sizes = F.transform(places(F.lit(0), count), lambda k: F.length(F.get(pieces, 2 * k)) + F.length(F.get(pieces, 2 * k + 1)))
+        return F.transform(before(sizes, plus, F.lit(0)), entry)
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(m, gaps))).otherwise(empty(f"array<{kind}>")))
+    return let(regex_pieces(text, pattern), lambda pieces: F.when(F.size(pieces) > 1, placed(pieces)).when(pieces.isNotNull(), empty(f"array<{kind}>")))
 
 
 _CANDIDATE = "struct<rank: int, shorter: int, start: int, ord: int, end: int, label: string>"
 
 
 def candidates(text: Column, rule: RegexRule, ord: int) -> Column:
-    """A rule's verified matches, as sort keys of the greedy choice.
-
-    A cheap rlike gates the scan, so that texts without a match pay for one search.
-    """
-    pattern = rule.java
-    found = regex_matches(text, pattern)
+    """A rule's verified matches, as sort keys of the greedy choice."""
+    found = regex_matches(text, rule.java)
     if rule.verify:
         found = F.filter(found, lambda m: validators.verify(rule.verify, m["text"]))
-    keyed = F.transform(
+    return F.transform(
         found,
         lambda m: F.struct(
             F.lit(-rule.priority).alias("rank"), (m["start"] - m["end"]).alias("shorter"), m["start"].alias("start"), F.lit(ord).alias("ord"), m["end"].alias("end"), F.lit(rule.label).alias("label")
         ),
     )
-    return F.when(text.rlike(pattern), keyed).otherwise(empty(f"array<{_CANDIDATE}>"))
 
 
 def greedy(found: Column, kind: str) -> Column:
